@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import linededup, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_sharding": sharding.op3_sharding,
+    "op5_quality": quality.op5_quality,
+    "op10_linededup": linededup.op10_linededup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_sharding": sharding.oracle(sharding.uniform_tree(16)),
+    "op5_quality": quality.ORACLE,
+    "op10_linededup": linededup.ORACLE,
+}
