@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import linededup, quality, sharding, simhash
+from . import exactdedup, linededup, mixing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_sharding": sharding.op3_sharding,
+    "op4_exactdedup": exactdedup.op4_exactdedup,
     "op5_quality": quality.op5_quality,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_warc": warc.op9_warc,
     "op10_linededup": linededup.op10_linededup,
 }
 
 ORACLE: dict[str, str] = {
     "op3_sharding": sharding.oracle(sharding.uniform_tree(16)),
+    "op4_exactdedup": exactdedup.ORACLE,
     "op5_quality": quality.ORACLE,
+    "op9_warc": warc.ORACLE,
     "op10_linededup": linededup.ORACLE,
 }
