@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, shared_path, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Session settings while the stream runs. Without preallocation a small state store takes kilobytes instead of megabytes;
+#: changelogs are uploaded instead of whole snapshots at each commit.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Bytes of files that one micro-batch takes.
 TRIGGER_BYTES = 4 << 30
 
@@ -64,13 +70,15 @@ def run_stream(
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/changes/batch={number}")  # a repeated batch replaces itself
 
-    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{home}/state").foreachBatch(changed).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, best struct<id: {}, file: string, row: long>, n long, batch int".format(dict(spark.read.parquet(path).dtypes)[id_col])
     changes = spark.read.schema(schema).option("basePath", f"{home}/changes").parquet(f"{home}/changes") if query.lastProgress else spark.createDataFrame([], schema)
     return changes.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s")).select("digest", "s.best", "s.n")
