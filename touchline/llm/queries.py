@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exactdedup, linededup, mixing, quality, sharding, simhash, warc
+from . import exactdedup, linededup, mixing, pieces, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_sharding": sharding.op3_sharding,
     "op4_exactdedup": exactdedup.op4_exactdedup,
     "op5_quality": quality.op5_quality,
+    "op6_pieces": pieces.op6_pieces,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_linededup": linededup.op10_linededup,
