@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_DOCS, MAX_CHARS, MAX_FEATURES = 8000, 32_000_000, 1 << 14
+MAX_DOCS, MAX_CHARS, MAX_FEATURES = 6000, 20_000_000, 1 << 14
 MIN_DOCS = 4
 THRESHOLD = 0.7
 LIFT = 3.0
@@ -55,36 +56,41 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     n, toxic = len(rows), sum(y for _, y in rows)
     if not 0 < toxic < n:
         return {"constant": toxic / n if n else 0.0, "bias": 0.0, "weights": {}}
-    of: dict[str, list[str]] = {}
-    bags = []
+    # candidates: features well above the toxic share, those of most evidence first; texts are read anew for
+    # each pass, so that only counts of the toxic documents' features are held
+    toxic_docs, all_docs = Counter(), Counter()
+    for text, k in rows:
+        if k:
+            toxic_docs.update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+    toxic_docs = Counter({f: k for f, k in toxic_docs.items() if k >= MIN_DOCS})
+    none: tuple[str, ...] = ()
+    of: dict[str, tuple[str, ...]] = {}
     for text, _ in rows:
-        bags.append([set(s) for s in sentences(text)] or [set()])
-        for s in bags[-1]:
-            for w in s:
-                if w not in of:
-                    of[w] = features(w)
-    # candidates: features well above the toxic share, those of most evidence first
-    all_docs, toxic_docs = Counter(), Counter()
-    for bag, (_, y) in zip(bags, rows):
-        seen = {f for w in set().union(*bag) for f in of[w]}
+        seen: set[str] = set()
+        for w in set(WORD.findall(text.lower())):
+            if (fs := of.get(w)) is None:
+                fs = of[w] = tuple(f for f in features(w) if f in toxic_docs) or none
+            seen.update(fs)
         all_docs.update(seen)
-        if y:
-            toxic_docs.update(seen)
     share = toxic / n
-    gain = {f: k * math.log((k / all_docs[f]) / share) for f, k in toxic_docs.items() if k >= MIN_DOCS and k / all_docs[f] >= min(LIFT * share, (1 + share) / 2)}
+    least = min(LIFT * share, (1 + share) / 2)
+    gain = {f: k * math.log((k / all_docs[f]) / share) for f, k in toxic_docs.items() if k / all_docs[f] >= least}
     names = sorted(gain, key=lambda f: (-gain[f], f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(names)}
     known = {w: ids for w, fs in of.items() if (ids := [index[f] for f in fs if f in index])}
-    cols, sent, doc_of, silent, y = [], [], [], np.zeros(n), np.array([k for _, k in rows], dtype=float)
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = sorted({i for w in s if w in known for i in known[w]})
-            if ids:
-                cols += ids
-                sent += [len(doc_of)] * len(ids)
+    of.clear()
+    cols, sent, doc_of, silent, y = array("q"), array("q"), array("q"), np.zeros(n), np.array([k for _, k in rows], dtype=float)
+    for d, (text, _) in enumerate(rows):
+        empty = True
+        for s in sentences(text):
+            empty = False
+            if ids := {i for w in s if w in known for i in known[w]}:
+                cols.extend(sorted(ids))
+                sent.extend([len(doc_of)] * len(ids))
                 doc_of.append(d)
             else:
                 silent[d] += 1
+        silent[d] += empty
     cols, sent, doc_of = np.array(cols, dtype=np.int64), np.array(sent, dtype=np.int64), np.array(doc_of, dtype=np.int64)
     w, bias = np.zeros(len(names)), -6.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
