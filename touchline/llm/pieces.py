@@ -106,7 +106,7 @@ class Pieces:
         return ok[np.searchsorted(known, pairs)]
 
     def edges(self, units: list[str]):
-        """(start, piece index) arrays over the concatenated units, each unit's start, and the end of the text."""
+        """Occurrences (start, piece index, position in the unit) sorted by that position, each unit's start, and the length."""
         import numpy as np
 
         depth = self.longest
@@ -115,9 +115,15 @@ class Pieces:
         ends = np.cumsum([len(u) + 1 for u in units])
         code[ends - 1] = 0  # ends of units: no piece goes over them
         n = len(code)
-        # prefix doubling: rank of each position by its first k characters
-        _, rank = np.unique(code, return_inverse=True)
-        k = 1
+        # prefix doubling: rank of each position by its first k characters, as many as fit a word to begin with
+        alphabet, letter = np.unique(code, return_inverse=True)
+        bits = max(1, int(len(alphabet)).bit_length())
+        k = min(depth, 62 // bits)
+        word = np.zeros(n + k, dtype=np.int64)
+        letter = np.append(letter + 1, np.zeros(2 * k, dtype=np.int64))
+        for i in range(k):
+            word = word << bits | letter[i : i + n + k]
+        _, rank = np.unique(word[:n], return_inverse=True)
         while k < depth:
             after = np.zeros(n, dtype=np.int64)
             after[: max(n - k, 0)] = rank[k:] + 1
@@ -127,18 +133,26 @@ class Pieces:
         padded = np.append(code, np.zeros(depth, dtype=np.int64)).astype("<u4")
         suffixes = np.lib.stride_tricks.sliding_window_view(padded, depth)[:n][order]
         suffixes = np.ascontiguousarray(suffixes).view(f"<U{depth}").ravel()
-        low, high = self.bounds(depth)
-        lo, hi = np.searchsorted(suffixes, low), np.searchsorted(suffixes, high, side="right")
-        count = hi - lo
+        low, high, letters = self.bounds(depth)
+        here = np.zeros(0x110002, dtype=bool)
+        here[alphabet] = here[0] = True
+        asked = np.flatnonzero(here[letters].all(axis=1))  # a piece with a letter that no unit has doesn't occur
+        count, lo = np.zeros(len(low), dtype=np.int64), np.zeros(len(low), dtype=np.int64)
+        lo[asked] = np.searchsorted(suffixes, low[asked])
+        count[asked] = np.searchsorted(suffixes, high[asked], side="right") - lo[asked]
         which = np.repeat(np.arange(len(count)), count)
         at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
         alone = np.flatnonzero((code > 0) & ~np.isin(code, self.single_codes))
         at, which = np.append(at, alone), np.append(which, np.full(len(alone), len(count)))  # characters without a piece
-        by = np.argsort(at, kind="stable")
-        return at[by], which[by], ends - [len(u) + 1 for u in units], n
+        starts = ends - [len(u) + 1 for u in units]
+        offset = at - starts[np.searchsorted(starts, at, side="right") - 1]
+        if int(ends[-1]) < 1 << 16 or int(offset.max()) < 1 << 16:
+            offset = offset.astype(np.uint16)  # sorted by radix
+        by = np.argsort(offset, kind="stable")
+        return at[by], which[by], offset[by].astype(np.int64), starts, n
 
     def bounds(self, depth: int):
-        """Least and greatest ``depth`` characters that start with each piece, code points plus one."""
+        """Least and greatest ``depth`` characters that start with each piece, code points plus one; and its letters."""
         import numpy as np
 
         if not hasattr(self, "_bounds"):
@@ -146,7 +160,7 @@ class Pieces:
             for i, p in enumerate(self.by_text):
                 low[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), dtype="<u4") + 1
             high = np.where(low == 0, 0x10FFFF, low).astype("<u4")
-            self._bounds = tuple(np.ascontiguousarray(x).view(f"<U{depth}").ravel() for x in (low, high))
+            self._bounds = *(np.ascontiguousarray(x).view(f"<U{depth}").ravel() for x in (low, high)), low
         return self._bounds
 
     def learn(self, units: list[str]) -> None:
@@ -155,11 +169,8 @@ class Pieces:
 
         if not units:
             return
-        at, which, starts, n = self.edges(units)
+        at, which, offset, starts, n = self.edges(units)
         v = len(self.by_text)
-        offset = at - starts[np.searchsorted(starts, at, side="right") - 1]
-        by = np.argsort(offset, kind="stable")
-        at, which, offset = at[by], which[by], offset[by]
         to = at + self.lengths[which]
         last = np.full(n + 1, -1, dtype=np.int64)  # the piece that ends before a position, number v for a lone character
         cuts = np.append(np.flatnonzero(np.diff(offset, prepend=-1)), len(offset)).tolist()
@@ -181,7 +192,7 @@ class Pieces:
             more = at > starts[unit]
             at, unit = at[more], unit[more]
         unit, at, piece = (np.concatenate(x) for x in zip(*taken))
-        by = np.lexsort((at, unit))
+        by = np.argsort(at)
         unit, piece = unit[by], piece[by]
         raw = self.piece_ids[piece].astype("<i4").tobytes()
         ends = np.cumsum(np.bincount(unit, minlength=len(units))).tolist()
@@ -208,7 +219,7 @@ class Pieces:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         memory = self.memory
-        self.learn(list({u: None for units in cut for u in units if u not in memory}))
+        self.learn(list(set().union(*cut).difference(memory)))
         return [b"".join([memory[u] for u in units]) for units in cut]
 
     def decode(self, ids) -> str:
