@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exactdedup, linededup, mixing, pieces, quality, sharding, simhash, toxicity, warc
+from . import exactdedup, linededup, mixing, pieces, quality, sharding, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_substrings": substrings.op2_substrings,
     "op3_sharding": sharding.op3_sharding,
     "op4_exactdedup": exactdedup.op4_exactdedup,
     "op5_quality": quality.op5_quality,
