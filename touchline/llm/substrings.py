@@ -8,10 +8,10 @@ hash. Equal windows name equal anchors, so only windows of one anchor need compa
 Consecutive windows with one anchor form a block. Blocks that occur twice as a whole are
 repeated whole, which settles most copies on slim rows (anchor, block digest, place).
 Where an anchor has several different blocks, one of each is fetched, and the blocks of
-an anchor are compared together: their concatenation is put in suffix order (prefix
-doubling to exactly ``span`` bytes) and the previous and next smaller positions within a
-run of suffixes that agree on ``span`` bytes tell whether the longest previous (and next)
-factor reaches ``span``. Anchors with over ``HOT_BLOCKS`` different blocks are compared
+an anchor are compared together: the windows of their concatenation are put in suffix
+order (by their first ``span`` bytes; later bytes can't matter) and the neighbours within
+a run of suffixes that agree on ``span`` bytes are the previous smaller and next greater
+positions: they tell whether the longest previous (and next) factor reaches ``span``. Anchors with over ``HOT_BLOCKS`` different blocks are compared
 by window digests instead, counted with pre-aggregation, so no anchor fills a task.
 
 Bytes are UTF-8; windows never cross documents. Digests have 128 bits for windows and
@@ -37,7 +37,7 @@ from .common import parts_for, stored
 SPAN, GRAM = 200, 32
 HOT_BLOCKS = 4000
 #: Bytes of blocks that one task puts in suffix order together.
-ORDER_BYTES = 6 << 20
+ORDER_BYTES = 1 << 20
 SEGMENT = 1 << 22
 POSITION = (1 << 24) - 1
 
@@ -142,35 +142,18 @@ def repeats(blocks: list[bytes], span: int = SPAN):
     """For the windows of each block (in text order): (block number, window start, has an earlier equal window, has a later one)."""
     import numpy as np
 
-    joined = np.frombuffer(b"".join(blocks), dtype=np.uint8).astype(np.int64)
+    joined = np.frombuffer(b"".join(blocks), dtype=np.uint8)
     sizes = np.array([len(b) for b in blocks], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
-    n = len(joined)
-    k = 7
-    padded = np.append(joined, np.zeros(k, dtype=np.int64))
-    word = np.zeros(n, dtype=np.int64)
-    for i in range(k):
-        word = word << 8 | padded[i : i + n]
-    _, rank = np.unique(word, return_inverse=True)
-
-    def longer(rank, step):
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] + 1
-        return np.unique(rank * (n + 2) + after, return_inverse=True)[1]
-
-    while 2 * k < span:
-        rank = longer(rank, k)
-        k *= 2
     count = np.maximum(sizes - span + 1, 0)
     owner = np.repeat(np.arange(len(blocks)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place = begins[owner] + at
-    # suffix order of the windows, to exactly span bytes: two overlapping halves
-    after = rank[place + span - k]
-    order = np.lexsort((place, after, rank[place]))
-    same = (rank[place][order][1:] == rank[place][order][:-1]) & (after[order][1:] == after[order][:-1])
+    # the suffixes that are windows, in order of their first span bytes, then of position
+    text = np.lib.stride_tricks.sliding_window_view(joined, span)[begins[owner] + at].view(f"S{span}").ravel()
+    order = np.argsort(text, kind="stable")
+    same = text[order[1:]] == text[order[:-1]]
     # within a run that agrees on span bytes positions ascend: the previous smaller position is the one before
-    earlier, later = np.zeros(len(place), dtype=bool), np.zeros(len(place), dtype=bool)
+    earlier, later = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
     earlier[order[1:]], later[order[:-1]] = same, same
     return owner, at, earlier, later
 
