@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MARK = "▁"
 #: Bytes of text whose new units are indexed together, and units that a task remembers.
 SLICE_BYTES, REMEMBERED = 4 << 20, 600_000
@@ -294,6 +296,7 @@ def default_model() -> str:
 
 def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_tokens, decoded_sha256, round_trip) of every row; the model's bytes travel with the task."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(_encoded(model), "id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean")
 

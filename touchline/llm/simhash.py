@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import bounded_batches, connected_components, stored
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -107,6 +107,7 @@ def components(
     shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
 ) -> DataFrame:
     """(id long, fp long, class_id long) for every row; class_id: smallest id reachable over links, itself included."""
+    bounded_batches(spark)
     rows = stored(spark, fingerprints(docs, id_col, text_col, shingle), "simhash")
     own = rows.groupBy("fp").agg(F.min("id").alias("first"))
     roots = connected_components(spark, links(own, max_bits))

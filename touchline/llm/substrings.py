@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, stored
+from .common import bounded_batches, parts_for, stored
 
 SPAN, GRAM = 200, 32
 HOT_BLOCKS = 4000
@@ -106,7 +106,7 @@ def _blocks(span: int):
                     row, prior = [i, th, s, e + span - s, e + span - s, 1, h, d - (1 << 64) if d >> 63 else d], (d, h)
                 for c, x in zip(cols, row):
                     c.append(x)
-                if len(cols[0]) > 100_000:
+                if len(cols[0]) > 20_000:
                     yield pack()
             if cols[0]:
                 yield pack()
@@ -257,6 +257,7 @@ def removed(
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, spans) of every row of ``docs``."""
     if keep not in ("none", "first") or span < 64:
         raise ValueError("keep is 'none' or 'first', span at least 64")
+    bounded_batches(spark)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))
     block_schema = "id long, th int, a int, size int, cover int, n long, anchor long, block long"

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MAX_DOCS, MAX_CHARS, MAX_FEATURES = 6000, 20_000_000, 1 << 14
 MIN_DOCS = 4
 THRESHOLD = 0.7
@@ -210,6 +212,7 @@ def clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
 
 
 def trained(spark: SparkSession, sf_dir: str, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    bounded_batches(spark)
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return fit(sample(docs, labels, id_col, text_col))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, shared_path, stored
+from .common import bounded_batches, parts_for, shared_path, stored
 
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_FRAME, ZSTD_DICTIONARY = b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
@@ -235,6 +235,7 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, **cols) -> DataFrame:
     """Write the pages as archives; returns the manifest (path, records)."""
+    bounded_batches(spark)
     folder = folder or shared_path(spark, "warc")
     rows = classified(pages, **cols)
     return stored(spark, rows.mapInArrow(_writer(folder, archive_bytes), "path string, records long"), "manifest")
