@@ -42,10 +42,10 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Bound the Arrow batches that Python workers and the JVM hold, for this session: whole texts can be long."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = int(spark.conf.get(key, "0") or 0)
-        if now <= 0 or now > most:
-            spark.conf.set(key, most)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
