@@ -36,7 +36,7 @@ from .common import bounded_batches
 
 MARK = "▁"
 #: Bytes of text whose new units are indexed together, and units that a task remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 600_000
+SLICE_BYTES, REMEMBERED = 4 << 20, 400_000
 _LOADED: dict[str, Pieces] = {}
 
 
