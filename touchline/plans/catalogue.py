@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import dataframes, texts
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _part in (texts, dataframes):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE
