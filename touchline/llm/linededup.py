@@ -57,7 +57,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN_LINES) -> DataFrame:
-    """``docs`` with the text rewritten, and columns n_lines, n_removed and n_runs (lines with a word, those removed, removed runs)."""
+    """``docs`` with the text rewritten, and columns (in place of any of these names) n_lines, n_removed and n_runs (lines with a word, those removed, removed runs)."""
     gone = repeated(docs, id_col, text_col, run).groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("a").alias("__a"))
     covered = f"array_sort(array_distinct(flatten(transform(coalesce(__a, array()), a -> sequence(a, a + {run - 1})))))"
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
@@ -69,7 +69,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        ELSE struct(s.n + 1 AS n, array_append(s.kept, l) AS kept) END,
         s -> array_join(slice(s.kept, 2, size(s.kept)), '\n'))"""
     return joined.select(
-        *[docs[c] for c in docs.columns if c != text_col],
+        *[docs[c] for c in docs.columns if c != text_col and c.lower() not in ("n_lines", "n_removed", "n_runs")],
         F.when(docs[text_col].isNull(), None).when(F.size("__gone") == 0, docs[text_col]).otherwise(F.expr(numbered)).alias(text_col),
         F.expr(r"CAST(size(filter(split(__text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')) AS BIGINT)").alias("n_lines"),
         F.size("__gone").cast("long").alias("n_removed"),

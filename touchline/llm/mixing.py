@@ -136,11 +136,11 @@ def mixed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     picks = taken(spark, docs, id_col, text_col, **kw).where("copies > 0")
     # rows equal in id and text share their copies in turn, so the join below stays one to one
     turn = Window.partitionBy("id", "th").orderBy("copies")
-    picks = picks.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "copies", F.row_number().over(turn).alias("__turn"))
+    picks = picks.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("copies").alias("__copies"), F.row_number().over(turn).alias("__turn"))
     own = Window.partitionBy("__own", "__ownth").orderBy(F.lit(0))
     rows = docs.withColumn("__own", F.col(id_col)).withColumn("__ownth", F.xxhash64(text_col)).withColumn("__n", F.row_number().over(own))
     joined = rows.join(picks, rows["__own"].eqNullSafe(picks["__id"]) & (rows["__ownth"] == picks["__th"]) & (rows["__n"] == picks["__turn"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

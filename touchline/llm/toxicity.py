@@ -119,7 +119,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> li
     marked = marked.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("y"))
     first = marked.withColumn("h", F.xxhash64("__id")).orderBy("h", "__id").limit(MAX_DOCS)
     # at most MAX_DOCS rows of three numbers
-    found = docs.join(F.broadcast(first), docs[id_col] == F.col("__id")).select("h", "__id", "y", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(first), F.col("__doc") == F.col("__id")).select("h", "__id", "y", "text")
     once = found.withColumn("n", F.row_number().over(Window.partitionBy("h", "__id").orderBy("text"))).where("n = 1")
     sofar = F.sum(F.length("text")).over(Window.orderBy("h", "__id").rowsBetween(Window.unboundedPreceding, 0))
     return [(r.text, r.y) for r in once.withColumn("c", sofar).where(F.col("c") <= MAX_CHARS).select("text", "y").collect()]
