@@ -34,6 +34,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
 #: Bytes of files that one micro-batch takes.
 TRIGGER_BYTES = 4 << 30
