@@ -121,7 +121,8 @@ def components(
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` whose id names their class: one document of each group, all its columns.
 
-    A class without any id keeps its rows, as none of them can be told from the others.
+    Rows that repeat an id are one document and stay or go together; a class without any id
+    keeps its rows, as none of them can be told from the others.
     """
     found = components(spark, docs, id_col, text_col, **kw)
     lost = found.where("id IS NULL AND class_id IS NOT NULL OR id <> class_id").select(F.col("id").alias("__lost")).distinct()
