@@ -36,7 +36,7 @@ from .common import bounded_batches
 
 MARK = "▁"
 #: Bytes of text whose new units are indexed together, and units that a task remembers.
-SLICE_BYTES, REMEMBERED = 1 << 20, 300_000
+SLICE_BYTES, REMEMBERED = 1 << 20, 450_000
 _LOADED: dict[str, Pieces] = {}
 
 
