@@ -249,11 +249,14 @@ def name_containment_join(spark, d):
     return out.select(F.col("n_nationkey").alias("a"), F.col("r_regionkey").alias("b"))
 
 
-@query("fuzzy_block_join")
+@query("fuzzy_block_join", """WITH l AS (SELECT n_nationkey AS a, n_name AS an, substr(string_split(n_name, ' ')[-1], 1, 1) AS k FROM nation), r AS (SELECT n_nationkey AS b, left(n_name, -1) AS bn FROM nation),
+p AS (SELECT a, b, (1 - levenshtein(an, bn)::DOUBLE / greatest(length(an), length(bn))) * 100 AS score FROM l JOIN r ON k = substr(string_split(bn, ' ')[-1], 1, 1)),
+o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM p WHERE score >= 60) SELECT a, b, round(score, 4) AS score FROM o WHERE n = 1""")
 def fuzzy_block_join(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("a"), F.col("c_name").alias("an"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_name").alias("bn"))
-    return joins.fuzzy_block(c, "a", "an", s, "b", "bn", 40.0)
+    n = table(spark, d, "nation")
+    cut = F.expr("substr(n_name, 1, length(n_name) - 1)")
+    out = joins.fuzzy_block(n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("an")), "a", "an", n.select(F.col("n_nationkey").alias("b"), cut.alias("bn")), "b", "bn", 60.0)
+    return out.select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query("resolve_cascade")
