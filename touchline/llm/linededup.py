@@ -62,12 +62,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     covered = f"array_sort(array_distinct(flatten(transform(coalesce(__a, array()), a -> sequence(a, a + {run - 1})))))"
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
     joined = joined.withColumn("__gone", F.expr(covered)).withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    # number the lines with a word by counting them from the left, then drop the numbers in __gone
-    numbered = r"""aggregate(split(__text, '\n'), struct(0 AS n, array('') AS kept),
-        (s, l) -> CASE WHEN NOT l rlike '[^\\x20\\x09-\\x0D]' THEN struct(s.n AS n, array_append(s.kept, l) AS kept)
-                       WHEN array_contains(__gone, s.n) THEN struct(s.n + 1 AS n, s.kept AS kept)
-                       ELSE struct(s.n + 1 AS n, array_append(s.kept, l) AS kept) END,
-        s -> array_join(slice(s.kept, 2, size(s.kept)), '\n'))"""
+    # positions of the lines with a word, of which those numbered in __gone go: linear in the lines
+    numbered = r"""transform(array(split(__text, '\n')), s -> transform(
+        array(filter(sequence(0, size(s) - 1), i -> s[i] rlike '[^\\x20\\x09-\\x0D]')), w -> array_join(transform(
+          array_except(sequence(0, size(s) - 1), transform(__gone, g -> w[g])), i -> s[i]), '\n'))[0])[0]"""
     return joined.select(
         *[docs[c] for c in docs.columns if c != text_col and c.lower() not in ("n_lines", "n_removed", "n_runs")],
         F.when(docs[text_col].isNull(), None).when(F.size("__gone") == 0, docs[text_col]).otherwise(F.expr(numbered)).alias(text_col),
