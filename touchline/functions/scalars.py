@@ -13,8 +13,8 @@ PROGRESSIVE_PASS, PROGRESSIVE_CARRY, CARRY_END_X = 25.0, 10.0, 48.0
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy")
 MAX_GOALS = 8
 
-_FROM = "áàâäãåéèêëíìîïóòôöõøúùûüñçýÿ"
-_TO = "aaaaaaeeeeiiiioooooouuuuncyy"
+_FROM = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
+_TO = "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
 def norm_name(c: Column) -> Column:

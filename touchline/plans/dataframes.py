@@ -94,14 +94,14 @@ def opponent_mirror(spark, d):
     return joins.mirror(t.join(two, "l_orderkey", "left_semi"), "l_orderkey", "l_suppkey", ["xg"]).select("l_orderkey", "l_suppkey", "xg", "opp_xg")
 
 
-_SNAP = """s AS (SELECT CAST(user_id % 40 AS INT) AS grp, CAST(user_id % 2 AS INT) AS side, event_id AS minute, value FROM events WHERE event_type = 'click'),
+_SNAP = """s AS (SELECT CAST(user_id % 40 AS INT) AS grp, CAST(user_id % 2 AS INT) AS side, event_id AS minute, value FROM events),
   f AS (SELECT CAST(floor(grp / 2) AS INT) AS m, side, minute, value FROM s)"""
 
 
 @query("opponent_asof", f"""WITH {_SNAP} SELECT f.m, f.side, f.minute, round(f.value, 4) AS value, round(coalesce(b.value, 0), 4) AS opp_value
 FROM f ASOF LEFT JOIN (SELECT m, 1 - side AS for_side, minute, value FROM f) b ON f.m = b.m AND f.side = b.for_side AND f.minute >= b.minute""")
 def opponent_asof(spark, d):
-    e = table(spark, d, "events").where("event_type = 'click'")
+    e = table(spark, d, "events")
     f = e.select(F.floor(F.col("user_id") % 40 / 2).cast("int").alias("m"), (F.col("user_id") % 2).cast("int").alias("side"), F.col("event_id").alias("minute"), "value")
     out = ordered.asof_other(f, "m", "side", "minute", ["value"])
     return out.select("m", "side", "minute", F.round("value", 4).alias("value"), F.round("opp_value", 4).alias("opp_value"))
@@ -140,11 +140,11 @@ def orphan_checks(spark, d):
 _XP = """(SELECT sum(exp(-a) * power(a, i) / factorial(i) * exp(-b) * power(b, j) / factorial(j) * CASE WHEN i > j THEN 3 WHEN i = j THEN 1 ELSE 0 END) FROM (SELECT unnest(range(9))::INT AS i), (SELECT unnest(range(9))::INT AS j))"""
 
 
-@query("league_table_xpoints", f"""WITH m AS (SELECT o_orderkey, o_custkey % 25 AS home, (o_custkey * 7 + 1) % 25 AS away, (o_totalprice / 100000.0)::DOUBLE AS a, ((o_orderkey % 7) / 3.0)::DOUBLE AS b FROM orders WHERE o_orderkey % 20 = 1),
+@query("league_table_xpoints", f"""WITH m AS (SELECT o_orderkey, o_custkey % 25 AS home, (o_custkey * 7 + 1) % 25 AS away, (o_totalprice / 100000.0)::DOUBLE AS a, ((o_orderkey % 7) / 3.0)::DOUBLE AS b FROM orders),
 t AS (SELECT home AS team, a, b FROM m UNION ALL SELECT away, b, a FROM m), x AS (SELECT team, a, b, {_XP} AS xp FROM t)
 SELECT team, count(*) AS played, round(sum(a), 4) AS xgf, round(sum(b), 4) AS xga, round(sum(xp), 4) AS xpoints FROM x GROUP BY team""")
 def league_table_xpoints(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 20 = 1")
+    o = table(spark, d, "orders")
     k, other = F.col("o_custkey"), ((F.col("o_orderkey") % 7) / F.lit(3.0))
     m = o.select((k % 25).alias("home"), ((k * 7 + 1) % 25).alias("away"), (F.col("o_totalprice") / 100000.0).alias("a"), other.alias("b"))
     sides = F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("away").alias("team"), F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -166,14 +166,14 @@ def graph_basics(spark, d):
     return b.select("n_nodes", F.col("n_edges").cast("long").alias("n_edges"), "total_weight", F.round("density", 6).alias("density"), F.round("reciprocity", 6).alias("reciprocity"))
 
 
-@query("graph_clustering", """WITH e AS (SELECT DISTINCT least(l_partkey, l_suppkey + 10000) % 97 AS a, greatest(l_orderkey, l_suppkey) % 97 AS b FROM lineitem WHERE l_orderkey < 400), u AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b),
-x AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), k AS (SELECT a, count(*) AS k FROM x GROUP BY a),
-t AS (SELECT p.a, count(*) AS t FROM x p JOIN x q ON p.a = q.a AND p.b < q.b JOIN u ON u.a = p.b AND u.b = q.b GROUP BY p.a)
-SELECT round(avg(CASE WHEN k < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (k * (k - 1)) END), 6) AS clustering FROM k LEFT JOIN t USING (a)""")
+@query("graph_clustering", """WITH e AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS g, least(l_suppkey % 25, l_partkey % 25) AS a, greatest(l_suppkey % 25, l_partkey % 25) AS b FROM lineitem), u AS (SELECT * FROM e WHERE a <> b),
+x AS (SELECT g, a, b FROM u UNION ALL SELECT g, b, a FROM u), k AS (SELECT g, a, count(*) AS k FROM x GROUP BY g, a),
+t AS (SELECT p.g, p.a, count(*) AS t FROM x p JOIN x q ON p.g = q.g AND p.a = q.a AND p.b < q.b JOIN u ON u.g = p.g AND u.a = p.b AND u.b = q.b GROUP BY p.g, p.a)
+SELECT g, round(avg(CASE WHEN k < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (k * (k - 1)) END), 6) AS clustering FROM k LEFT JOIN t USING (g, a) GROUP BY g""")
 def graph_clustering(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 400")
-    e = li.select(F.lit(1).alias("g"), (F.least("l_partkey", F.col("l_suppkey") + 10000) % 97).alias("src"), (F.greatest("l_orderkey", "l_suppkey") % 97).alias("dst"))
-    return graph.clustering(e, ["g"]).select(F.round("clustering", 6).alias("clustering"))
+    li = table(spark, d, "lineitem")
+    e = li.select(F.col("l_shipdate").cast("date").alias("g"), (F.col("l_suppkey") % 25).alias("src"), (F.col("l_partkey") % 25).alias("dst"))
+    return graph.clustering(e, ["g"]).select("g", F.round("clustering", 6).alias("clustering"))
 
 
 @query("graph_path_metrics")
@@ -191,12 +191,12 @@ def elo_ratings(spark, d):
     return rating.elo(m, "league")
 
 
-_OLD, _NEW = "SELECT s_suppkey AS k, s_name AS name, s_acctbal AS v FROM supplier WHERE s_suppkey % 3 <> 0", "SELECT s_suppkey AS k, 'new ' || s_name AS name, s_acctbal + 1 AS v FROM supplier WHERE s_suppkey % 2 = 0"
+_OLD, _NEW = "SELECT c_custkey AS k, c_name AS name, c_acctbal AS v FROM customer", "SELECT p_partkey + 50 AS k, 'new ' || p_name AS name, p_retailprice AS v FROM part"
 
 
 def _old_new(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("v"))
-    return s.where("k % 3 <> 0"), s.where("k % 2 = 0").withColumns({"name": F.concat(F.lit("new "), "name"), "v": F.col("v") + 1})
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"))
+    return old, table(spark, d, "part").select((F.col("p_partkey") + 50).alias("k"), F.concat(F.lit("new "), "p_name").alias("name"), F.col("p_retailprice").alias("v"))
 
 
 @query("upsert_last_wins", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT k, name, round(v, 2) AS v FROM n UNION ALL SELECT k, name, round(v, 2) FROM o WHERE k NOT IN (SELECT k FROM n)")
@@ -228,18 +228,20 @@ def surrogate_keys(spark, d):
     return upsert.surrogate_keys(table(spark, d, "customer"), ["c_mktsegment"], "id").select("c_mktsegment", F.col("id").cast("long").alias("id"))
 
 
-@query("name_normalise", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(left(text, 60))), '\b(jr|sr|ii|iii|iv)\b', '', 'g'), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM documents WHERE lang <> 'de'""")
+@query("name_normalise", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '\b(jr|sr|ii|iii|iv)\b', '', 'g'), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM documents""")
 def name_normalise(spark, d):
-    return table(spark, d, "documents").where("lang <> 'de'").select("doc_id", S.norm_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, d, "documents").select("doc_id", S.norm_name(F.col("text")).alias("name"))
 
 
-@query("token_subset_join", """WITH l AS (SELECT doc_id, list_distinct(string_split(lower(left(text, 12)), ' ')) AS t FROM documents WHERE doc_id < 60), r AS (SELECT doc_id, list_distinct(string_split(lower(left(text, 60)), ' ')) AS t FROM documents WHERE doc_id < 60),
-p AS (SELECT l.doc_id AS a, r.doc_id AS b FROM l, r WHERE list_has_all(r.t, l.t)) SELECT a, min(b) AS b FROM p GROUP BY a HAVING count(*) = 1""")
+@query("token_subset_join", """WITH l AS (SELECT c_custkey AS a, list_distinct(string_split(c_name || ' ' || c_mktsegment, ' ')) AS t FROM customer),
+r AS (SELECT c_custkey AS b, c_mktsegment || ' n' || c_nationkey || ' ' || c_name AS n FROM customer UNION ALL SELECT -1 - c_custkey, c_name || ' second ' || c_mktsegment FROM customer WHERE c_acctbal < 0),
+p AS (SELECT a, b FROM l, r WHERE list_has_all(string_split(n, ' '), t)) SELECT a, min(b) AS b FROM p GROUP BY a HAVING count(*) = 1""")
 def token_subset_join(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 60")
-    left = docs.select(F.col("doc_id").alias("a"), F.lower(F.substring("text", 1, 12)).alias("ln"))
-    right = docs.select(F.col("doc_id").alias("b"), F.lower(F.substring("text", 1, 60)).alias("rn"))
-    return joins.token_subset(left, "a", "ln", right, "b", "rn")
+    c = table(spark, d, "customer")
+    left = c.select(F.col("c_custkey").alias("a"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("ln"))
+    right = c.select(F.col("c_custkey").alias("b"), F.expr("c_mktsegment || ' n' || c_nationkey || ' ' || c_name").alias("rn"))
+    more = c.where("c_acctbal < 0").select((-1 - F.col("c_custkey")).alias("b"), F.expr("c_name || ' second ' || c_mktsegment").alias("rn"))
+    return joins.token_subset(left, "a", "ln", right.unionByName(more), "b", "rn")
 
 
 @query("name_containment_join", "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a JOIN region b ON substr(a.n_name, 1, 1) = substr(b.r_name, 1, 1) AND (contains(a.n_name, b.r_name) OR contains(b.r_name, a.n_name))")
@@ -295,12 +297,14 @@ def point_in_triangle(spark, d):
     return e.select("event_id", S.in_cone(100.0 + F.col("user_id") % 20, F.col("value") * 0.8, F.lit(108.0), F.lit(40.0)).alias("inside"))
 
 
-@query("vector_cosine", """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(v, u), 6) AS cosine FROM a, q""")
+@query("vector_cosine", """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2), q AS (SELECT label, list(m ORDER BY i) AS u FROM c GROUP BY label)
+SELECT vec_id, label AS signature, round(list_cosine_similarity(v, u), 6) AS cosine FROM a, q""")
 def vector_cosine(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("u"))  # one stated query vector
-    return e.join(F.broadcast(q)).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("u")), 6).alias("cosine"))
+    m = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    q = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("u"))  # a signature per label: ten rows, whatever the number of vectors
+    return e.select("vec_id", "embedding").join(F.broadcast(q)).select("vec_id", F.col("label").alias("signature"), F.round(S.cosine(F.col("embedding"), F.col("u")), 6).alias("cosine"))
 
 
 @query("cluster_centroid_distance", """WITH c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2)

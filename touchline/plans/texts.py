@@ -38,7 +38,9 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_o
 GROUP BY l_partkey, p_brand HAVING count(*) >= 3
 ORDER BY round(avg(l_discount) + avg(l_tax), 9) DESC, l_partkey LIMIT 12""")
 
-add("season_options", "SELECT year(o_orderdate) AS season, count(*) AS n FROM orders WHERE o_custkey = 7 OR o_custkey = 11 GROUP BY year(o_orderdate)")
+add("season_options", """SELECT team_id, season, count(*) AS n FROM (SELECT o_custkey % 25 AS team_id, year(o_orderdate) AS season FROM orders
+  UNION ALL SELECT (o_custkey * 7 + 1) % 25, year(o_orderdate) FROM orders WHERE (o_custkey * 7 + 1) % 25 <> o_custkey % 25) AS t GROUP BY team_id, season""")
+add("either_side", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'")
 add("latest_matches", """SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS match_date, concat(c_name, ' v ', n_name) AS label
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 40""")
@@ -74,18 +76,19 @@ ORDER BY goals - xg DESC, player_id LIMIT 15""", """SELECT player_id, shots, goa
   SELECT l_partkey AS player_id, count(*) AS shots, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS goals, round(sum(CAST(l_discount AS DECIMAL(12, 4))), 2) AS xg FROM lineitem GROUP BY l_partkey) AS t
 ORDER BY goals - xg DESC, player_id LIMIT 15""")
 ORACLE["finishing_leaders"] = ORACLE["finishing_leaders"].replace("goals, xg, round(goals - xg, 2) AS xg_diff", "goals, xg::DOUBLE AS xg, round(goals - xg, 2)::DOUBLE AS xg_diff")
-add("shot_map", """SELECT l_orderkey AS match_id, l_linenumber AS shot_no, l_partkey AS player_id, coalesce(p_brand, concat('Player ', CAST(l_partkey AS VARCHAR))) AS player_name,
+add("shot_map", """SELECT l_suppkey AS team_id, l_orderkey AS match_id, l_linenumber AS shot_no, l_partkey AS player_id, coalesce(p_brand, concat('Player ', CAST(l_partkey AS VARCHAR))) AS player_name,
   round(coalesce(l_discount, l_tax, 0.0), 4) AS xg, round(3 + sqrt(greatest(0.0, l_discount)) * 15, 6) AS radius
-FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 3""", """SELECT l_orderkey AS match_id, l_linenumber AS shot_no, l_partkey AS player_id, coalesce(p_brand, concat('Player ', CAST(l_partkey AS STRING))) AS player_name,
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""", """SELECT l_suppkey AS team_id, l_orderkey AS match_id, l_linenumber AS shot_no, l_partkey AS player_id, coalesce(p_brand, concat('Player ', CAST(l_partkey AS STRING))) AS player_name,
   round(coalesce(l_discount, l_tax, 0.0), 4) AS xg, round(3 + sqrt(greatest(0.0, l_discount)) * 15, 6) AS radius
-FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 3""")
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
 add("team_record", """SELECT l_suppkey AS team_id, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS wins,
   CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS draws, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS losses,
   round(avg(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM lineitem GROUP BY l_suppkey""")
 add("win_rate_by_match", """SELECT team_id, count(*) AS n_matches, round(avg(won), 6) AS win_rate FROM (
   SELECT l_suppkey AS team_id, l_orderkey, max(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END) AS won FROM lineitem GROUP BY l_suppkey, l_orderkey) AS t GROUP BY team_id""")
 add("win_probability_fallback", """SELECT s_suppkey AS team_id, coalesce(r.win_pct, CAST(60 + 2 * (s_suppkey % 4) AS DOUBLE)) AS win_pct, CASE WHEN r.win_pct IS NULL THEN 'demo' ELSE 'database' END AS source
-FROM supplier LEFT JOIN (SELECT l_suppkey, round(avg(CASE WHEN l_returnflag = 'A' THEN 100.0 ELSE 0.0 END), 4) AS win_pct FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY l_suppkey) AS r ON s_suppkey = r.l_suppkey""")
+FROM supplier LEFT JOIN (SELECT l_suppkey, round(avg(CASE WHEN l_returnflag = 'A' THEN 100.0 ELSE 0.0 END), 4) AS win_pct FROM lineitem GROUP BY l_suppkey
+  HAVING sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) >= sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)) AS r ON s_suppkey = r.l_suppkey""")
 add("injury_risk_rows", """SELECT l_partkey AS player_id, count(*) AS n, round(avg(l_quantity), 6) AS minutes_mean, year(max(o_orderdate)) - year(min(o_orderdate)) AS seasons,
   CASE WHEN avg(l_discount) >= 0.067 THEN 'high' WHEN avg(l_discount) >= 0.04 THEN 'medium' ELSE 'low' END AS risk
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey HAVING count(*) >= 3 ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC, l_partkey LIMIT 15""")
@@ -110,7 +113,7 @@ add("running_totals", """SELECT user_id, minute, CAST(sum(n) OVER w AS BIGINT) A
   SELECT user_id, hour(ts) AS minute, count(*) AS n, sum(value) AS v FROM events GROUP BY user_id, hour(ts)) AS t
 WINDOW w AS (PARTITION BY user_id ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 add("cumulative_race", """SELECT event_id, user_id, event_type = 'purchase' AS marker, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS total
-FROM events WHERE user_id < 20""")
+FROM events""")
 add("sampled_snapshots", """SELECT user_id, event_id, h FROM (SELECT user_id, event_id, hour(ts) AS h, max(event_id) OVER (PARTITION BY user_id) AS last_id FROM events) AS t
 WHERE (h % 5 = 0 AND h > 0) OR event_id = last_id""")
 add("team_rollup", """SELECT l_orderkey AS match_id, l_suppkey AS team_id, round(sum(l_discount), 6) AS xg, round(avg(l_tax), 6) AS tax_mean, max(l_quantity) AS minutes_max, count(l_shipdate) FILTER (WHERE l_shipdate IS NOT NULL) AS dated
@@ -207,5 +210,5 @@ add("missing_work_list", """SELECT c_custkey FROM customer WHERE NOT EXISTS (SEL
 add("zero_share", "SELECT round(avg(CASE WHEN l_discount = 0 THEN 1.0 ELSE 0.0 END), 6) AS discount_zero, round(avg(CASE WHEN l_tax = 0 THEN 1.0 ELSE 0.0 END), 6) AS tax_zero, round(stddev_samp(l_quantity), 6) AS quantity_std, median(l_quantity) AS quantity_median FROM lineitem")
 add("mode_by_group", "SELECT o_custkey, mode(o_orderpriority ORDER BY o_orderpriority) AS main_priority FROM orders GROUP BY o_custkey", "SELECT o_custkey, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS main_priority FROM orders GROUP BY o_custkey")
 add("source_badge", "SELECT user_id, CASE WHEN bool_and(event_type <> 'error') THEN 'database' WHEN bool_or(event_type = 'purchase') THEN 'mixed' ELSE 'demo' END AS source FROM events GROUP BY user_id")
-add("last_name_initials", "SELECT c_custkey, substr(c_name, 1, 1) AS initial, split_part(c_name, '#', 2) AS last_part, substr(CAST(c_acctbal AS VARCHAR), 1, 3) AS lead FROM customer WHERE c_custkey < 100", "SELECT c_custkey, substr(c_name, 1, 1) AS initial, split_part(c_name, '#', 2) AS last_part, substr(CAST(c_acctbal AS STRING), 1, 3) AS lead FROM customer WHERE c_custkey < 100")
+add("last_name_initials", "SELECT c_custkey, substr(c_name, 1, 1) AS initial, split_part(c_name, '#', 2) AS last_part, substr(CAST(c_acctbal AS VARCHAR), 1, 3) AS lead FROM customer", "SELECT c_custkey, substr(c_name, 1, 1) AS initial, split_part(c_name, '#', 2) AS last_part, substr(CAST(c_acctbal AS STRING), 1, 3) AS lead FROM customer")
 add("team_mean_delta", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS delta FROM customer")
