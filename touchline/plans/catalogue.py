@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dataframes, texts
+from . import dataframes, modelling, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (texts, dataframes):
+for _part in (texts, dataframes, modelling):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
