@@ -9,8 +9,9 @@ one row per task.
 
 A digest seen more than once is a hit. After the stream has caught up, the full bytes of
 every hit are compared with those at the retained locator; a digest whose texts differ is
-split by its whole texts. The check joins hits to one retained text per digest, a join
-that skew handling can split.
+split by its whole texts. The check joins hits to one retained text per digest. A digest
+of over a thousandth of all rows (fewer than a thousand digests can be) is salted in both
+joins, so no task gets its rows together.
 
 Edge cases: null and empty texts are equal; among rows with the largest id the one at the
 last locator stays; a null id is smaller than any; repeated rows are rows of one group and
@@ -38,6 +39,8 @@ STATE_CONF = {
 }
 #: Bytes of files that one micro-batch takes.
 TRIGGER_BYTES = 4 << 30
+#: A digest of more than one in HOT_SHARE rows is hot: its rows are dealt to SALTS keys.
+HOT_SHARE, SALTS = 1000, 32
 
 
 def normalised(text: Column) -> Column:
@@ -87,30 +90,48 @@ def run_stream(
     return changes.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s")).select("digest", "s.best", "s.n")
 
 
+def salted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` (digest, file, row, ..) with ``salt``: 0 to SALTS - 1 for rows of a hot digest, else 0."""
+    flagged = rows.join(F.broadcast(hot), F.col("digest") == F.col("__hot"), "left")
+    return flagged.withColumn("salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64("file", "row"), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
+
+
+def copied(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """``keyed`` (a row per ``__d``) with ``__salt``: a copy for every salt of a hot digest, else one."""
+    flagged = keyed.join(F.broadcast(hot), F.col("__d") == F.col("__hot"), "left")
+    copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return flagged.withColumn("__salt", F.explode(copies)).drop("__hot")
+
+
 def groups(
     spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, **stream
 ) -> DataFrame:
     """(id, keep_id, group_size, kept, digest, file, row) of every row of the Parquet table at ``path``."""
     state = stored(spark, run_stream(spark, path, id_col, text_col, digest, **stream), "dedup")
+    total = state.agg(F.sum("n")).first()[0] or 0
+    # digests of over one in HOT_SHARE rows each: fewer than HOT_SHARE of them, whatever the input
+    hot = state.where((F.col("n") > 1) & (F.col("n") * HOT_SHARE > F.lit(total))).select(F.col("digest").alias("__hot"))
     rows = located(spark.read.parquet(path), id_col, text_col, digest)
     hits = state.where("n > 1").select(F.col("digest").alias("__d"), "best")
     # the retained texts, fetched by their locators
     at = (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
-    retained = rows.select("norm", "file", "row").join(hits, at).select("__d", F.col("norm").alias("__norm"))
-    wrong = rows.select("norm", "digest").join(retained, (F.col("digest") == F.col("__d")) & (F.col("norm") != F.col("__norm")))
+    retained = copied(rows.select("norm", "file", "row").join(hits, at).select("__d", F.col("norm").alias("__norm")), hot)
+    same = (F.col("digest") == F.col("__d")) & (F.col("salt") == F.col("__salt"))
+    wrong = salted(rows.select("norm", "digest", "file", "row"), hot).join(retained, same & (F.col("norm") != F.col("__norm")))
     wrong = stored(spark, wrong.select("digest").distinct(), "dedup")
-    plain = state.select(F.col("digest").alias("__d"), F.col("best").alias("__best"), F.col("n").alias("__n"))
+    flat = [F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best.file").alias("best_file"), F.col("best.row").alias("best_row")]
+    plain = copied(state.select(F.col("digest").alias("__d"), *flat), hot)
     slim = rows.select("id", "digest", "file", "row")
     if not wrong.isEmpty():  # texts that share a digest: group those rows by their whole text
         both = rows.join(wrong, "digest", "left_semi")
         exact = both.groupBy("digest", "norm").agg(F.max(F.struct("id", "file", "row")).alias("best"), F.count("*").alias("n"))
-        split = both.join(exact, ["digest", "norm"]).select("id", "digest", "file", "row", "best", "n")
+        split = both.join(exact, ["digest", "norm"]).select("id", "digest", "file", "row", *flat)
         slim = slim.join(wrong, "digest", "left_anti")
-    joined = slim.join(plain, F.col("digest") == F.col("__d")).select("id", "digest", "file", "row", F.col("__best").alias("best"), F.col("__n").alias("n"))
+    joined = salted(slim, hot).join(plain, same).select("id", "digest", "file", "row", "keep_id", "group_size", "best_file", "best_row")
     if not wrong.isEmpty():
         joined = joined.unionByName(split)
-    own = (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
-    return joined.select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), own.alias("kept"), "digest", "file", "row")
+    own = (F.col("file") == F.col("best_file")) & (F.col("row") == F.col("best_row"))
+    return joined.select("id", "keep_id", "group_size", own.alias("kept"), "digest", "file", "row")
 
 
 def kept(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
