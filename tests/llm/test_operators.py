@@ -311,3 +311,33 @@ def test_pipeline_against_brute_force(spark, sf):
         docs = after
     out = pipe.STAGES[-1][1](spark, docs, sf)
     assert out.count() == docs.count() and out.where("NOT round_trip").count() == 0
+
+
+def test_near_stage_finds_every_similar_text(spark, sf):
+    """Edited copies at a Jaccard similarity of 0.8 or more go, though most differ by more than three fingerprint bits; others stay."""
+    import corpus_pipeline as pipe
+
+    from touchline.llm import neardup
+
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    rows = []
+    for base in range(6):
+        text = [word() for _ in range(250)]
+        for edit in range(12):
+            new = list(text)
+            for k in random.sample(range(250), edit):
+                new[k] = word()
+            rows.append((100 * base + edit, " ".join(new)))
+    sets = {i: set(neardup.shingles(t).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+    for _ in range(8):
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    fp = {i: simhash.fingerprint(t) for i, t in rows}
+    assert any(bin(fp[i] ^ fp[j]).count("1") > 3 for i, j in linked) and len(set(root.values())) < len(rows)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, s string").repartition(3)
+    kept = pipe.near_stage(spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+    assert pipe.near_stage(spark, docs.where("false"), sf).count() == 0

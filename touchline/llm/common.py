@@ -95,3 +95,23 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = now
     raise RuntimeError(f"components haven't settled in {max_rounds} rounds")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` of each class, all its columns: that with the smallest id, null last, then the smallest text hash.
+
+    ``found``: (id long, th long, class long) for every row, th the xxhash64 of the text. Rows are told apart by id and
+    text together; of rows equal in both one stays.
+    """
+    found = stored(spark, found, "classes")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    first = found.groupBy("class").agg(F.min(row).alias("first"))
+    lost = found.join(first, "class").where(row != F.col("first")).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    equal = lambda x: docs[id_col].cast("long").eqNullSafe(x["__id"]) & (F.xxhash64(docs[text_col]) == x["__th"])
+    again = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__th")
+    kept = docs.join(lost, equal(lost), "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(again, equal(again), "left_semi")
+    once = once.groupBy(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__th")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return kept.join(again, equal(again), "left_anti").select(docs.columns).unionByName(once.select("__row.*"))
