@@ -341,3 +341,10 @@ def test_near_stage_finds_every_similar_text(spark, sf):
     kept = pipe.near_stage(spark, docs, sf)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
     assert pipe.near_stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_decided_alone(spark):
+    rows = [(1, PROSE), (None, PROSE), (None, "alone " * 40), (None, "pair of rows " * 30), (None, "pair of rows " * 30), (7, "first text " * 30), (7, PROSE.upper()), (None, None), (8, "twice " * 9), (8, "twice " * 9)]
+    kept = simhash.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, PROSE), (None, "alone " * 40), (None, "pair of rows " * 30), (7, "first text " * 30), (None, None), (8, "twice " * 9)]
+    assert as_set(kept) == collections.Counter(want)

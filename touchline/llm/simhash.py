@@ -13,8 +13,8 @@ fingerprint at the end. Plan: one Python pass over the texts, then JVM joins on
 Edge cases: a null or empty text, or one of white space only, has fingerprint zero and
 is linked like any other; fewer words than a shingle give one shingle of all words;
 a null ``id`` never becomes a class id unless all rows of the class have none; repeated
-rows are rows of one class; an empty table gives an empty result; extra columns are
-ignored by ``components`` and kept by ``keep_first``.
+rows are rows of one class, of which ``keep_first`` keeps one; an empty table gives an
+empty result; extra columns are ignored by ``components`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, stored
+from .common import bounded_batches, connected_components, one_of_each, stored
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -119,14 +119,10 @@ def components(
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` whose id names their class: one document of each group, all its columns.
-
-    Rows that repeat an id are one document and stay or go together; a class without any id
-    keeps its rows, as none of them can be told from the others.
-    """
-    found = components(spark, docs, id_col, text_col, **kw)
-    lost = found.where("id IS NULL AND class_id IS NOT NULL OR id <> class_id").select(F.col("id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["__lost"]), "left_anti").select(docs.columns)
+    """One row of each class, that with the smallest id, all its columns; decided row by row, with or without an id (``one_of_each``)."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    of = components(spark, slim, "th", "text", **kw).select(F.col("id").alias("th"), F.col("class_id").alias("class")).distinct()
+    return one_of_each(spark, docs, slim.select("id", "th").join(of, "th"), id_col, text_col)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
