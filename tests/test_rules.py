@@ -141,3 +141,13 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     from touchline.streaming import windows
 
     assert windows.run_once(spark, sf, str(tmp_path)).exceptAll(windows.batch(spark, sf)).count() == 0
+
+
+def test_containment_at_any_place(spark):
+    from touchline.operators import joins
+
+    left = [(1, "estadio santiago bernabeu"), (2, "wembley"), (3, "a"), (4, ""), (5, None), (6, "wembley"), (7, "camp nou"), (8, "nab")]
+    right = [(1, "santiago bernabeu"), (2, "old wembley stadium"), (3, "nou"), (4, ""), (5, "bernabeu"), (6, None), (7, "camp noux"), (8, "mp n")]
+    got = joins.contains_either_way(spark.createDataFrame(left, "a long, an string"), "an", spark.createDataFrame(right, "b long, bn string"), "bn")
+    want = sorted((a, b) for a, x in left for b, y in right if x and y and (x in y or y in x))
+    assert sorted((r.a, r.b) for r in got.collect()) == want and (1, 1) in want

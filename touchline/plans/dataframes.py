@@ -246,9 +246,9 @@ def token_subset_join(spark, d):
 
 @query("name_containment_join", "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a JOIN region b ON substr(a.n_name, 1, 1) = substr(b.r_name, 1, 1) AND (contains(a.n_name, b.r_name) OR contains(b.r_name, a.n_name))")
 def name_containment_join(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    out = joins.contains_either_way(n, "n_name", r, "r_name", F.substring("n_name", 1, 1), F.substring("r_name", 1, 1))
-    return out.select(F.col("n_nationkey").alias("a"), F.col("r_regionkey").alias("b"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), S.norm_name(F.col("n_name")).alias("an"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("b"), S.norm_name(F.col("r_name")).alias("bn"))
+    return joins.contains_either_way(n, "an", r, "bn").select("a", "b")
 
 
 @query("fuzzy_block_join", """WITH l AS (SELECT n_nationkey AS a, n_name AS an, substr(string_split(n_name, ' ')[-1], 1, 1) AS k FROM nation), r AS (SELECT n_nationkey AS b, left(n_name, -1) AS bn FROM nation),
