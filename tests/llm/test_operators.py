@@ -274,6 +274,20 @@ def test_queries_against_their_sql(spark, sf):
         assert as_set(got) == collections.Counter(want), name
 
 
+def similar_firsts(rows):
+    """Smallest id of each class of texts linked by a Jaccard similarity of 0.8 or more of their sets of five words, all pairs compared."""
+    sets = {}
+    for i, t in rows:
+        words = [w.lower() for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    root = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+    for _ in range(8):
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    return sorted(set(root.values()))
+
+
 def test_pipeline_against_brute_force(spark, sf):
     """Each stage against plain code over what the stage before kept."""
     import corpus_pipeline as pipe
@@ -296,14 +310,7 @@ def test_pipeline_against_brute_force(spark, sf):
                 best[k] = max(best.get(k, i), i)
             want = collections.Counter(best.values())
         elif name == "near_dedup":
-            fp = {i: simhash.fingerprint(t) for i, t in before}
-            root = {i: i for i in fp}
-            for _ in range(4):
-                for i in fp:
-                    for j in fp:
-                        if bin(fp[i] ^ fp[j]).count("1") <= 3:
-                            root[i] = root[j] = min(root[i], root[j])
-            want = collections.Counter({i: 1 for i in fp if root[i] == i})
+            want = collections.Counter(similar_firsts(before))
         else:
             copies = {r.id: r.copies for r in mixing.taken(spark, docs).collect()}
             want = collections.Counter({i: c for i, c in copies.items() if c})

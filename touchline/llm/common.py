@@ -6,9 +6,11 @@ executors share, so a lost executor costs a re-read and never a lost result.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,12 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster; without one a single machine uses its warehouse folder, a cluster must name one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="touchline-shared-")
-        spark.sparkContext.setCheckpointDir(where)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/touchline-shared"
     return where.rstrip("/")
 
 
@@ -40,7 +41,7 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Bound the Arrow batches that Python workers and the JVM hold, for this session: whole texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -48,8 +49,35 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow`` that leaves no idle memory: a worker process outlives its task, and waits beside those of other stages."""
+
+    def wrapped(batches: Batches) -> Batches:
+        pa.set_memory_pool(pa.system_memory_pool())  # other pools keep what they once had
+        try:
+            yield from run(batches)
+        finally:
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
+def shingle_hashes(text: str | None, size: int, seed: int):
+    """XXH64 of each shingle of ``size`` words of the text (A-Z lower-cased), repeats included; of the whole sequence if that is shorter."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if size == 3 and len(words) > 3:
+        hashes = [digest(a + b" " + b + b" " + c, seed) for a, b, c in zip(words, words[1:], words[2:])]
+    else:
+        hashes = [digest(b" ".join(words[i : i + size]), seed) for i in range(max(1, len(words) - size + 1))]
+    return np.array(hashes, dtype="<u8"), len(words)
 
 
 def lower_ascii(col):

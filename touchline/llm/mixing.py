@@ -23,7 +23,7 @@ extra columns are ignored by ``taken`` and kept by ``mixed``.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +90,13 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_W
     return take
 
 
-def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-    size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
+def _fitted(rows: pa.Table) -> pa.Table:
+    size, target = rows["source_size"][0].as_py(), rows["target"][0].as_py()
     passes = min(2, int(target / size + 1e-9)) if size else 0
     budget = int(target - passes * size + 1e-6) if size else 0
-    picks = fit([int(x) for x in pdf["size"]], [int(x) for x in pdf["n"]], budget)
-    return pdf.assign(passes=passes, picks=picks)[["source", "size", "n", "source_size", "target", "passes", "picks"]]
+    picks = fit(rows["size"].to_pylist(), rows["n"].to_pylist(), budget)
+    rows = rows.select(["source", "size", "n", "source_size", "target"])
+    return rows.append_column("passes", pa.array([passes] * len(picks), pa.int32())).append_column("picks", pa.array(picks, pa.int64()))
 
 
 def taken(
@@ -113,7 +114,7 @@ def taken(
     share = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     share = share.select(F.col("source").alias("__s"), "source_size", "target")
     joined = hist.join(share, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    plan = joined.groupBy("source").applyInPandas(
+    plan = joined.groupBy("source").applyInArrow(
         _fitted, "source string, size long, n long, source_size long, target double, passes int, picks long"
     )
     plan = stored(spark, plan, "mixing")
@@ -133,13 +134,19 @@ def taken(
 
 def mixed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The mix: every row of ``docs`` as often as it is taken, 0 to 2 times, all its columns."""
-    picks = taken(spark, docs, id_col, text_col, **kw).where("copies > 0")
-    # rows equal in id and text share their copies in turn, so the join below stays one to one
-    turn = Window.partitionBy("id", "th").orderBy("copies")
-    picks = picks.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("copies").alias("__copies"), F.row_number().over(turn).alias("__turn"))
-    own = Window.partitionBy("__own", "__ownth").orderBy(F.lit(0))
-    rows = docs.withColumn("__own", F.col(id_col)).withColumn("__ownth", F.xxhash64(text_col)).withColumn("__n", F.row_number().over(own))
-    joined = rows.join(picks, rows["__own"].eqNullSafe(picks["__id"]) & (rows["__ownth"] == picks["__th"]) & (rows["__n"] == picks["__turn"]))
+    picks = stored(spark, taken(spark, docs, id_col, text_col, **kw).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("copies").alias("__copies")), "mixing")
+    rows = docs.withColumn("__own", F.col(id_col)).withColumn("__ownth", F.xxhash64(text_col))
+    same = lambda x: rows["__own"].eqNullSafe(x["__id"]) & (rows["__ownth"] == x["__th"])
+    again = picks.groupBy("__id", "__th").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__th")
+    joined = rows.join(picks.where("__copies > 0"), same(picks))
+    if not again.isEmpty():  # rows equal in id and text share their copies in turn
+        turn = Window.partitionBy("__id", "__th").orderBy("__copies")
+        turns = picks.join(again.select(F.col("__id").alias("__i"), F.col("__th").alias("__t")), F.expr("__id <=> __i AND __th = __t"), "left_semi")
+        turns = turns.withColumn("__turn", F.row_number().over(turn)).where("__copies > 0")
+        own = Window.partitionBy("__own", "__ownth").orderBy(F.lit(0))
+        repeated = rows.join(again, same(again), "left_semi").withColumn("__n", F.row_number().over(own))
+        repeated = repeated.join(turns, F.expr("__own <=> __id AND __ownth = __th AND __n = __turn"))
+        joined = rows.join(again, same(again), "left_anti").join(picks.where("__copies > 0"), same(picks)).unionByName(repeated.drop("__n", "__turn"))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,7 +1,9 @@
-"""Near copies by the similarity of their word shingles: MinHash bands find pairs, exact Jaccard decides them.
+"""Near copies by the similarity of their word shingles: fingerprints and minima find pairs, exact Jaccard decides them.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of
-0.8 or more; classes are the components of the links. A set has 128 minima in 32 bands of
+0.8 or more; classes are the components of the links. Candidates are texts whose fingerprints
+share a deletion-variant signature, and, as those find few pairs at 0.8, texts whose sets
+share a band of minima. A set has 128 minima in 32 bands of
 four; a pair at 0.8 shares no band with a probability of (1 - 0.8^4)^32 = 5e-8, and less
 above. Sets that share a band are compared whole: first each with its neighbour in the
 band's bucket, in order of size, then, of buckets that still hold several components, all
@@ -18,13 +20,13 @@ empty table gives an empty result; extra columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, one_of_each, stored
+from .common import bounded_batches, connected_components, lean, shingle_hashes, stored
 
 SEED = 42
 SHINGLE_WORDS = 5
@@ -36,12 +38,8 @@ SHINGLES_AT_ONCE = 1 << 11
 def shingles(text: str | None, size: int = SHINGLE_WORDS):
     """Sorted distinct 64-bit hashes of the word shingles."""
     import numpy as np
-    import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))]
-    return np.unique(np.array(hashes, dtype="<u8"))
+    return np.unique(shingle_hashes(text, size, SEED)[0])
 
 
 class Sketcher:
@@ -73,13 +71,22 @@ def _signed(values):
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = Sketcher()
-    for b in batches:
-        out = [sketch(shingles(t.as_py())) for t in b.column(2)]
-        keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(out) + 1, BANDS), pa.int32()), pa.array(_signed([r[2] for r in out]).reshape(-1)))
-        cols = [b.column(0), b.column(1), pa.array(_signed([r[0] for r in out])), pa.array([r[1] for r in out], pa.int64()), keys]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "th", "s", "n", "keys"])
+def _sketches(bits: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        sketch = Sketcher()
+        for b in batches:
+            out, prints = [], []
+            for t in b.column(2):
+                hashes, _ = shingle_hashes(t.as_py(), SHINGLE_WORDS, SEED)
+                prints.append(bits(hashes))
+                out.append(sketch(np.unique(hashes)))
+            keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(out) + 1, BANDS), pa.int32()), pa.array(_signed([r[2] for r in out]).reshape(-1)))
+            cols = [b.column(0), b.column(1), pa.array(_signed([r[0] for r in out])), pa.array([r[1] for r in out], pa.int64()), pa.array(_signed(prints)), keys]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "s", "n", "fp", "keys"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,26 +103,37 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(on).select("u", "v")
 
 
-def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, th long, class long) for every row; th is the xxhash64 of the text, class names the component."""
+def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, bits: Callable, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id long, th long, class long) for every row; th is the xxhash64 of the text, class names the component.
+
+    ``bits`` makes a fingerprint of shingle hashes, ``placed`` finds fingerprints next to each other under a signature.
+    """
     bounded_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(spark, slim.mapInArrow(_sketches, "id long, th long, s long, n long, keys array<long>"), "near")
-    own = rows.groupBy("s").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = stored(spark, slim.mapInArrow(lean(_sketches(bits)), "id long, th long, s long, n long, fp long, keys array<long>"), "near")
+    own = rows.groupBy("s").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    own = stored(spark, own, "near")
+    # by signatures: one set of each fingerprint beside one of the next, and of the same fingerprint each beside the first
+    first = own.groupBy("fp").agg(F.min("s").alias("s"), F.min("th").alias("th"))
+    beside = placed(own).where("before IS NOT NULL").select("fp", "before").distinct()
+    beside = beside.join(first, "fp").join(first.select(F.col("fp").alias("before"), F.col("s").alias("s0"), F.col("th").alias("th0")), "before")
+    same = own.select("fp", "s", "th").join(first.select("fp", F.col("s").alias("s0"), F.col("th").alias("th0")), "fp").where("s <> s0")
+    signed = stored(spark, beside.select("s", "th", "s0", "th0").unionByName(same.select("s", "th", "s0", "th0")), "near")
     members = own.select("s", "th", "n", F.explode("keys").alias("key"))
     # sets that share a band with another, and those before them in the bucket
     at = Window.partitionBy("key").orderBy("n", "s")
-    placed = members.withColumn("before", F.lag("s").over(at)).withColumn("n_before", F.lag("n").over(at)).withColumn("after", F.lead("s").over(at))
-    placed = stored(spark, placed.where("before IS NOT NULL OR after IS NOT NULL").select("s", "th", "n", "key", "before", "n_before"), "near")
-    wanted = placed.groupBy("th").agg(F.first("s").alias("s"))
+    sharing = members.withColumn("before", F.lag("s").over(at)).withColumn("n_before", F.lag("n").over(at)).withColumn("after", F.lead("s").over(at))
+    sharing = stored(spark, sharing.where("before IS NOT NULL OR after IS NOT NULL").select("s", "th", "n", "key", "before", "n_before"), "near")
+    wanted = sharing.select("s", "th").unionByName(signed.select("s", "th")).unionByName(signed.select(F.col("s0").alias("s"), F.col("th0").alias("th")))
+    wanted = wanted.groupBy("th").agg(F.first("s").alias("s"))
     texts = slim.select("th", "text").join(wanted, "th").dropDuplicates(["s"]).select("s", "text")
-    sets = stored(spark, texts.mapInArrow(_sets, "s long, all array<long>"), "near")
+    sets = stored(spark, texts.mapInArrow(lean(_sets), "s long, all array<long>"), "near")
 
     low, high = SIMILAR
     pair = lambda x, y: [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
-    chain = placed.where(f"n_before * {high} >= n * {low}").select(*pair("before", "s")).distinct()
+    chain = sharing.where(f"n_before * {high} >= n * {low}").select(*pair("before", "s")).unionByName(signed.select(*pair("s", "s0"))).distinct()
     linked = connected_components(spark, similar(chain, sets))
-    named = placed.join(linked, placed["s"] == linked["node"], "left").select("s", "n", "key", F.coalesce("root", "s").alias("c"))
+    named = sharing.join(linked, sharing["s"] == linked["node"], "left").select("s", "n", "key", F.coalesce("root", "s").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     named = stored(spark, named.join(mixed, "key"), "near")
     a, b = named.alias("a"), named.alias("b")
@@ -125,8 +143,3 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     if not more.isEmpty():
         linked = connected_components(spark, linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     return rows.join(linked, rows["s"] == linked["node"], "left").select("id", "th", F.coalesce("root", "s").alias("class"))
-
-
-def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class of near copies, that with the smallest id, all its columns."""
-    return one_of_each(spark, docs, classes(spark, docs, id_col, text_col), id_col, text_col)

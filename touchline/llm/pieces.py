@@ -14,7 +14,9 @@ so each position has one valid edge and the relaxed path is the model's own enco
 Characters without a piece become their UTF-8 bytes' pieces.
 
 Per task only the pieces, a bounded memory of recent units and one slice of a batch are
-held. One pass, no shuffle.
+held; a text longer than a slice is encoded part by part, cut where a unit starts. Only a
+single unit (characters without a space between them) is indexed whole, at some hundred
+bytes a character. One pass, no shuffle.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; a text's own
 word marks (U+2581) decode as spaces, as in the library; texts of any length are encoded
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 MARK = "▁"
 #: Bytes of text whose new units are indexed together, and units that a task remembers.
-SLICE_BYTES, REMEMBERED = 1 << 20, 450_000
+SLICE_BYTES, REMEMBERED, REMEMBERED_PAIRS = 2 << 20, 150_000, 1_000_000
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -71,6 +73,7 @@ class Pieces:
         self.single_codes = np.array([ord(p) + 1 for p in self.by_text if len(p) == 1], dtype=np.int64)
         self.pairs = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # control characters without a piece cut units too
         plain = "".join(chr(c) for c in range(32) if not any(chr(c) in p for p in self.ids))
         cut = f"{MARK}{re.escape(plain)}"
@@ -99,7 +102,7 @@ class Pieces:
         if len(new):
             names, n = self.by_text, len(self.by_text)
             judged = [self.merged(names[k // n] + names[k % n]) == [names[k // n], names[k % n]] for k in new.tolist()]
-            if len(known) > 4 * REMEMBERED:
+            if len(known) > REMEMBERED_PAIRS:
                 known, ok = known[:0], ok[:0]
                 new = keys
                 judged = [self.merged(names[k // n] + names[k % n]) == [names[k // n], names[k % n]] for k in new.tolist()]
@@ -217,13 +220,33 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        cut = [self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        return self.encoded([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+
+    def encoded(self, marked: list[str]) -> list[bytes]:
+        """Ids of texts, or parts of them that start a unit, with their marks in place. Units are remembered for two generations."""
+        cut = [self.unit.findall(t) for t in marked]
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory = self.memory
-        self.learn(list(set().union(*cut).difference(memory)))
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
+        new = set().union(*cut).difference(memory)
+        for u in new.intersection(older):
+            memory[u] = older[u]
+        self.learn(list(new.difference(older)))
         return [b"".join([memory[u] for u in units]) for units in cut]
 
+    def parts(self, text: str) -> Iterator[str]:
+        """A text with its marks in place, in parts of about ``SLICE_BYTES`` characters that each start a unit."""
+        marked, begin = MARK + text.replace(" ", MARK) if text else "", 0
+        while len(marked) - begin > SLICE_BYTES:
+            at = marked.find(MARK, begin + SLICE_BYTES)
+            while at > 0 and marked[at - 1] == MARK:  # inside a run of marks
+                at = marked.find(MARK, at + 1)
+            if at < 0:
+                break
+            yield marked[begin:at]
+            begin = at
+        yield marked[begin:]
+
     def decode(self, ids) -> str:
         texts = self.texts
         return b"".join([texts[i] for i in ids]).decode("utf-8", "replace")[1:]
@@ -245,7 +268,10 @@ def _encoded(model: bytes):
         pieces = loaded(model)
 
         def rows(held: list[tuple[object, str]]) -> pa.RecordBatch:
-            raw = pieces.encode([t for _, t in held])
+            if len(held) == 1:
+                raw = [b"".join(x for part in pieces.parts(held[0][1]) for x in pieces.encoded([part]))]
+            else:
+                raw = pieces.encode([t for _, t in held])
             arrays = [np.frombuffer(r, dtype="<i4") for r in raw]
             decoded = [pieces.decode(a.tolist()) for a in arrays]
             offsets = np.append(0, np.cumsum([len(a) for a in arrays])).astype(np.int32)
@@ -263,11 +289,12 @@ def _encoded(model: bytes):
         for b in batches:
             held, size = [], 0
             for i, t in zip(b.column(0), b.column(1)):
-                held.append((i.as_py(), t.as_py() or ""))
-                size += len(held[-1][1])
-                if size > SLICE_BYTES:
+                row = i.as_py(), t.as_py() or ""
+                if held and size + len(row[1]) > SLICE_BYTES:
                     yield rows(held)
                     held, size = [], 0
+                held.append(row)
+                size += len(row[1])
             if held:
                 yield rows(held)
 
@@ -298,13 +325,13 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """(id, ids, n_tokens, decoded_sha256, round_trip) of every row; the model's bytes travel with the task."""
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_encoded(model), "id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean")
+    return slim.mapInArrow(lean(_encoded(model)), "id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean")
 
 
 def decoded(rows: DataFrame, model: bytes, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of every row of ids."""
     slim = rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return slim.mapInArrow(_decoded(model), "id long, text string")
+    return slim.mapInArrow(lean(_decoded(model)), "id long, text string")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

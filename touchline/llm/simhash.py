@@ -3,9 +3,13 @@
 A 64-bit fingerprint is cut into two segments of 32 bits. Two fingerprints that differ
 in at most three bits differ in at most one bit in one of the segments, so they agree
 in that segment once the differing bit is a wildcard. Each distinct fingerprint is
-indexed under its 64 one-wildcard segment variants, an equality join finds the
-candidates, and the join's residual condition verifies the distance. The condition also
-names one variant as the place where a pair may be reported, so no pair is made twice.
+indexed under its 64 one-wildcard segment variants, equality of variants finds the
+candidates, and their whole distance is verified (``grouped`` for classes, ``links`` for
+all pairs).
+
+``keep_similar`` decides by the similarity of five-word shingles instead of three bits. Three
+bits find few of the pairs at 0.8 (about ten bits differ there), and signatures for ten bits
+would be a thousand rows a text, so the signatures' candidates are completed by ``neardup``.
 
 Copies (equal fingerprints) collapse to one row before the join; rows rejoin their
 fingerprint at the end. Plan: one Python pass over the texts, then JVM joins on longs.
@@ -22,10 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, one_of_each, stored
+from . import neardup
+from .common import bounded_batches, connected_components, lean, one_of_each, parts_for, shingle_hashes, stored
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -35,20 +40,14 @@ BITS_AT_ONCE = 1 << 15
 
 def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     """Unsigned 64-bit SimHash over the word shingles, repeats included."""
+    hashes, words = shingle_hashes(text, shingle, SEED)
+    return majority(hashes) if words else 0
+
+
+def majority(h) -> int:
+    """The number whose bits are those set in over half of the hashes."""
     import numpy as np
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    elif shingle == 3:
-        hashes = [digest(a + b" " + b + b" " + c, SEED) for a, b, c in zip(words, words[1:], words[2:])]
-    else:
-        hashes = [digest(b" ".join(words[i : i + shingle]), SEED) for i in range(len(words) - shingle + 1)]
-    h = np.array(hashes, dtype="<u8")
+
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), BITS_AT_ONCE):
         part = h[i : i + BITS_AT_ONCE]
@@ -69,26 +68,63 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """(id long, fp long): the signed fingerprint of every row."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_fingerprints(shingle), "id long, fp long")
+    return slim.mapInArrow(lean(_fingerprints(shingle)), "id long, fp long")
+
+
+def variants(prints: DataFrame) -> DataFrame:
+    """(fp, key) of each distinct fingerprint, 64 rows: segment number, wildcard position and the segment without that bit in one long."""
+    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    high = F.shiftrightunsigned(F.col("fp"), 32)
+    keys = []
+    for seg, value in ((0, low), (1, high)):
+        for p in range(32):
+            keep = 0xFFFFFFFF & ~(1 << p)
+            keys.append(value.bitwiseAND(F.lit(keep)).bitwiseOR(F.lit((seg * 32 + p) << 32)))
+    # dealt out first: 64 times the rows aren't made in the few tasks that slim fingerprints fit
+    dealt = prints.select("fp").distinct().repartition(parts_for(prints.sparkSession), "fp")
+    return dealt.select("fp", F.explode(F.array(*keys)).alias("key"))
+
+
+def placed(prints: DataFrame) -> DataFrame:
+    """(key, fp, before) of fingerprints that share a variant key with another; ``before`` is the next smaller one there."""
+    at = Window.partitionBy("key").orderBy("fp")
+    out = variants(prints).withColumn("before", F.lag("fp").over(at)).withColumn("after", F.lead("fp").over(at))
+    return out.where("before IS NOT NULL OR after IS NOT NULL").drop("after")
+
+
+def grouped(spark: SparkSession, prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(node long, root long) of every fingerprint linked to another by ``max_bits`` (3 at most) differing bits or fewer.
+
+    A group of n near copies gives n links, not all pairs: within a variant key first each
+    fingerprint and the next smaller one are compared; then only pairs of different
+    components are, in the keys that still hold several.
+    """
+    if not 0 <= max_bits <= 3:
+        raise ValueError("two segments with one wildcard find 3 differing bits at most")
+    near = stored(spark, placed(prints), "simhash")
+    chain = near.where(f"bit_count(fp ^ before) <= {max_bits}").select(F.col("before").alias("u"), F.col("fp").alias("v"))
+    linked = connected_components(spark, chain)
+    named = near.join(linked, near["fp"] == linked["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("c"))
+    several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    named = stored(spark, named.join(several, "key"), "simhash")
+    a, b = named.alias("a"), named.alias("b")
+    across = a.join(b, F.expr(f"a.key = b.key AND a.c < b.c AND bit_count(a.fp ^ b.fp) <= {max_bits}"))
+    across = stored(spark, across.select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct(), "simhash")
+    if across.isEmpty():
+        return linked
+    return connected_components(spark, linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across))
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u long, v long): each pair of distinct fingerprints at 1 to ``max_bits`` (3 at most) differing bits, once.
 
-    Variant key: segment number, wildcard position and the segment without that bit, in
-    one long. A pair is reported at the low segment when that differs in at most one bit,
-    else at the high one, and at the differing position, or 0 if the segment is equal.
+    All pairs are listed, for callers that want them; classes come from ``grouped``. A pair is
+    reported at the low segment when that differs in at most one bit, else at the high one,
+    and at the differing position, or 0 if the segment is equal.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with one wildcard find 3 differing bits at most")
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned(F.col("fp"), 32)
-    variants = []
-    for seg, value in ((0, low), (1, high)):
-        for p in range(32):
-            keep = 0xFFFFFFFF & ~(1 << p)
-            variants.append(value.bitwiseAND(F.lit(keep)).bitwiseOR(F.lit((seg * 32 + p) << 32)))
-    keyed = prints.select("fp").distinct().select("fp", F.explode(F.array(*variants)).alias("key"))
+    keyed = variants(prints)
     a, b = keyed.alias("a"), keyed.alias("b")
     diff = "(a.fp ^ b.fp)"
     low_bits, high_bits = f"({diff} & 4294967295)", f"shiftrightunsigned({diff}, 32)"
@@ -110,7 +146,7 @@ def components(
     bounded_batches(spark)
     rows = stored(spark, fingerprints(docs, id_col, text_col, shingle), "simhash")
     own = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(spark, links(own, max_bits))
+    roots = grouped(spark, own, max_bits)
     named = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = stored(spark, named, "simhash")
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
@@ -125,6 +161,11 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     return one_of_each(spark, docs, slim.select("id", "th").join(of, "th"), id_col, text_col)
 
 
+def keep_similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, chosen as in ``keep_first``."""
+    return one_of_each(spark, docs, neardup.classes(spark, docs, id_col, text_col, majority, placed), id_col, text_col)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(

@@ -6,15 +6,16 @@ five-grams of characters), and a document is toxic if any sentence is: noisy-or,
 ``1 - prod(1 - p)``. The weights are fitted to document labels through the noisy-or, so
 the sentences that carry a label are found without sentence labels.
 
-Fitting takes a bounded sample of labelled rows: the first ``MAX_DOCS`` in hash order, up
-to ``MAX_CHARS`` characters together, and ``MAX_FEATURES`` features. It is the only thing
-that reaches the driver. Scoring is one pass over all whole texts, without a shuffle; the
+Fitting takes a bounded sample of labelled rows: of those of at most ``MAX_TEXT``
+characters the first ``MAX_DOCS`` in hash order, up to ``MAX_CHARS`` characters together,
+and ``MAX_FEATURES`` features. It is the only thing that reaches the driver. Scoring is one pass over all whole texts, without a shuffle; the
 weights (bounded) travel with the task.
 
 Edge cases: a null or empty text has one empty sentence and gets the bias; repeated
 labels of a document count once, the most toxic one; null labels are ignored; a null
 document id isn't held out; without labels of both kinds scores are the share of toxic
-labels (0 if there are none); empty tables give empty results; extra columns are ignored.
+labels (0 if there are none), and ``clean`` raises if that share would drop every row;
+empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
-MAX_DOCS, MAX_CHARS, MAX_FEATURES = 6000, 20_000_000, 1 << 14
+MAX_DOCS, MAX_TEXT, MAX_CHARS, MAX_FEATURES = 6000, 200_000, 20_000_000, 1 << 14
 MIN_DOCS = 4
 THRESHOLD = 0.7
 LIFT = 3.0
@@ -117,9 +118,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> li
     """The bounded training sample, held-out documents left out."""
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     marked = marked.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("y"))
-    first = marked.withColumn("h", F.xxhash64("__id")).orderBy("h", "__id").limit(MAX_DOCS)
-    # at most MAX_DOCS rows of three numbers
     texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = texts.where(F.length("text") <= MAX_TEXT)
+    # labels of documents that are there and fit; at most MAX_DOCS rows of three numbers
+    marked = marked.join(texts.select("__doc"), F.col("__doc") == F.col("__id"), "left_semi")
+    first = marked.withColumn("h", F.xxhash64("__id")).orderBy("h", "__id").limit(MAX_DOCS)
     found = texts.join(F.broadcast(first), F.col("__doc") == F.col("__id")).select("h", "__id", "y", "text")
     once = found.withColumn("n", F.row_number().over(Window.partitionBy("h", "__id").orderBy("text"))).where("n = 1")
     sofar = F.sum(F.length("text")).over(Window.orderBy("h", "__id").rowsBetween(Window.unboundedPreceding, 0))
@@ -197,11 +200,13 @@ def _scored(model: dict):
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, offending, worst_start, worst_end) of every row; positions are in the lower-cased text."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_scored(model), "id long, score double, offending int, worst_start int, worst_end int")
+    return slim.mapInArrow(lean(_scored(model)), "id long, score double, offending int, worst_start int, worst_end int")
 
 
 def clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all their columns."""
+    if model["constant"] is not None and model["constant"] >= threshold:
+        raise ValueError("the labels are of one kind, toxic: every document would go")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +214,7 @@ def clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
         for b in batches:
             yield b.filter(pa.array([scorer(t.as_py() or "")[0] < threshold for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def trained(spark: SparkSession, sf_dir: str, id_col: str = "doc_id", text_col: str = "text") -> dict:

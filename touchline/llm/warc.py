@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, parts_for, shared_path, stored
+from .common import bounded_batches, lean, parts_for, shared_path, stored
 
 DICTIONARY_FRAME = 0x184D2A5D
-ZSTD_FRAME, ZSTD_DICTIONARY = b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
+ZSTD_FRAME = b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 10, 1 << 20
 REVISIT_BYTES = 100
@@ -238,14 +238,14 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
     bounded_batches(spark)
     folder = folder or shared_path(spark, "warc")
     rows = classified(pages, **cols)
-    return stored(spark, rows.mapInArrow(_writer(folder, archive_bytes), "path string, records long"), "manifest")
+    return stored(spark, rows.mapInArrow(lean(_writer(folder, archive_bytes)), "path string, records long"), "manifest")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per record of the archives in the manifest; ids are strings, as in the headers."""
     schema = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string"
     schema += ", payload binary" * with_payload
-    return manifest.select("path", "records").repartition(parts_for(spark), "path").mapInArrow(_reader(with_payload), schema)
+    return manifest.select("path", "records").repartition(parts_for(spark), "path").mapInArrow(lean(_reader(with_payload)), schema)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
