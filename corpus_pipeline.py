@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exactdedup, mixing, neardup, pieces, toxicity
+from touchline.llm import exactdedup, mixing, pieces, simhash, toxicity
 from touchline.llm.common import shared_path, stored
 
 
@@ -30,7 +30,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
-    return neardup.keep_first(spark, docs)
+    return simhash.keep_similar(spark, docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
