@@ -5,9 +5,12 @@ Two texts are linked if the sets of their five-word shingles have a Jaccard simi
 share a deletion-variant signature, and, as those find few pairs at 0.8, texts whose sets
 share a band of minima. A set has 128 minima in 32 bands of
 four; a pair at 0.8 shares no band with a probability of (1 - 0.8^4)^32 = 5e-8, and less
-above. Sets that share a band are compared whole: first each with its neighbour in the
-band's bucket, in order of size, then, of buckets that still hold several components, all
-pairs of different components. A large group of near copies so takes a chain, not all pairs.
+above. Shingles that no other candidate has bound a set's overlap with any other; sets with
+over a fifth of such shingles leave. Sets that share a band are compared whole: first each
+with the one before it and the first one of the band's bucket, those of fewest shingles of
+their own first; then, of the sets in buckets that still hold several components, the pairs of
+different components that prefixes and positions allow (``prefixes``). A large group of near
+copies so takes a star and a chain, not all pairs.
 
 Equal sets collapse to one row (by a 64-bit digest) before the bands are joined. Whole sets
 are built only for texts that share a band with another.
@@ -103,6 +106,25 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(on).select("u", "v")
 
 
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(u, v) of ``sets`` (s, all, n, c) of different c that may be similar enough, by prefix and position.
+
+    Shingles are put in order of frequency. Two sets at the similarity share one of the first
+    n/5 + 1 of each, and behind their first shared one there is room for the others that
+    they share. Frequent shingles are in few prefixes, so few pairs come from a large group.
+    """
+    low, high = SIMILAR
+    each = sets.select("s", "n", "c", F.explode("all").alias("h"))
+    often = each.groupBy(F.col("h").alias("__h")).agg(F.count("*").alias("df")).where("df > 1")
+    by = each.join(often, F.col("h") == F.col("__h")).groupBy("s").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by"))
+    # shingles of one set alone come first in the order: the others start behind them
+    by = by.withColumn("own", F.expr("n - size(by)")).withColumn("left", F.expr(f"n - ceil(n * {low} / {high}) + 1 - own")).where("left > 0")
+    first = by.select("s", "n", "c", "own", F.posexplode(F.expr("slice(by, 1, CAST(left AS INT))"))).select("s", "n", "c", (F.col("own") + F.col("pos")).alias("p"), F.col("col.h").alias("h"))
+    a, b = first.alias("a"), first.alias("b")
+    on = f"a.h = b.h AND a.c < b.c AND least(a.n - a.p, b.n - b.p) * {low + high} >= {low} * (a.n + b.n)"
+    return a.join(b, F.expr(on)).select(F.least("a.s", "b.s").alias("u"), F.greatest("a.s", "b.s").alias("v")).distinct()
+
+
 def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, bits: Callable, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id long, th long, class long) for every row; th is the xxhash64 of the text, class names the component.
 
@@ -119,26 +141,32 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, bi
     beside = beside.join(first, "fp").join(first.select(F.col("fp").alias("before"), F.col("s").alias("s0"), F.col("th").alias("th0")), "before")
     same = own.select("fp", "s", "th").join(first.select("fp", F.col("s").alias("s0"), F.col("th").alias("th0")), "fp").where("s <> s0")
     signed = stored(spark, beside.select("s", "th", "s0", "th0").unionByName(same.select("s", "th", "s0", "th0")), "near")
+    # sets that share a band with another
     members = own.select("s", "th", "n", F.explode("keys").alias("key"))
-    # sets that share a band with another, and those before them in the bucket
-    at = Window.partitionBy("key").orderBy("n", "s")
-    sharing = members.withColumn("before", F.lag("s").over(at)).withColumn("n_before", F.lag("n").over(at)).withColumn("after", F.lead("s").over(at))
-    sharing = stored(spark, sharing.where("before IS NOT NULL OR after IS NOT NULL").select("s", "th", "n", "key", "before", "n_before"), "near")
+    at = Window.partitionBy("key").orderBy("s")
+    sharing = members.withColumn("before", F.lag("s").over(at)).withColumn("after", F.lead("s").over(at)).where("before IS NOT NULL OR after IS NOT NULL")
+    sharing = stored(spark, sharing.select("s", "th", "n", "key"), "near")
     wanted = sharing.select("s", "th").unionByName(signed.select("s", "th")).unionByName(signed.select(F.col("s0").alias("s"), F.col("th0").alias("th")))
     wanted = wanted.groupBy("th").agg(F.first("s").alias("s"))
     texts = slim.select("th", "text").join(wanted, "th").dropDuplicates(["s"]).select("s", "text")
     sets = stored(spark, texts.mapInArrow(lean(_sets), "s long, all array<long>"), "near")
-
+    # shingles that no other candidate has can't be shared: m is what is left, and bounds every overlap
+    alone = sets.select("s", F.explode("all").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s")).where("c = 1")
+    alone = alone.groupBy("s").agg(F.count("*").alias("u"))
     low, high = SIMILAR
+    sharing = sharing.join(alone, "s", "left").withColumn("m", F.expr("n - coalesce(u, 0)")).where(f"m * {high} >= n * {low}").select("s", "n", "m", "key")
+
+    # each set beside the one before it and the first one of its bucket, those of fewest shingles of their own first
+    at = Window.partitionBy("key").orderBy(F.expr("n - m"), "n", "s")
+    sharing = sharing.withColumn("ahead", F.array_distinct(F.array(F.lag("s").over(at), F.first("s").over(at))))
+    sharing = stored(spark, sharing, "near")
     pair = lambda x, y: [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
-    chain = sharing.where(f"n_before * {high} >= n * {low}").select(*pair("before", "s")).unionByName(signed.select(*pair("s", "s0"))).distinct()
+    chain = sharing.select("s", F.explode("ahead").alias("t")).where("t <> s").select(*pair("t", "s")).unionByName(signed.select(*pair("s", "s0"))).distinct()
     linked = connected_components(spark, similar(chain, sets))
     named = sharing.join(linked, sharing["s"] == linked["node"], "left").select("s", "n", "key", F.coalesce("root", "s").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    named = stored(spark, named.join(mixed, "key"), "near")
-    a, b = named.alias("a"), named.alias("b")
-    across = a.join(b, F.expr(f"a.key = b.key AND a.c <> b.c AND a.s < b.s AND least(a.n, b.n) * {high} >= greatest(a.n, b.n) * {low}"))
-    across = across.select(F.col("a.s").alias("u"), F.col("b.s").alias("v")).distinct().join(chain, ["u", "v"], "left_anti")
+    named = stored(spark, named.join(mixed, "key").groupBy("s").agg(F.first("n").alias("n"), F.first("c").alias("c")), "near")
+    across = stored(spark, prefixes(sets.join(named, "s")).join(chain, ["u", "v"], "left_anti"), "near")
     more = stored(spark, similar(across, sets), "near")
     if not more.isEmpty():
         linked = connected_components(spark, linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
