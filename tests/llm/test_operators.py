@@ -262,6 +262,52 @@ def test_line_dedup(spark, docs, none):
     assert linededup.deduplicated(none).count() == 0
 
 
+def naive_line_dedup(rows, run=3, words=50):
+    """{(id, text): (n_lines, n_removed, n_runs, kept text)} by looking at every window in order."""
+    texts = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    seen, out = set(), {}
+    for i, t in texts:
+        lines = t.split("\n")
+        held = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        gone = set()
+        for a in range(len(held)):
+            for size in range(1, run + 1):
+                if a + size <= len(held) and (size == run or sum(len(lines[k].split()) for k in held[a : a + size]) >= words):
+                    win = tuple(lines[k] for k in held[a : a + size])
+                    if win in seen:
+                        gone.update(range(a, a + size))
+                    seen.add(win)
+                    break
+        drop = {held[g] for g in gone}
+        out[i, t] = len(held), len(gone), sum(g - 1 not in gone for g in gone), "\n".join(x for k, x in enumerate(lines) if k not in drop)
+    return out
+
+
+def test_line_dedup_against_every_window(spark):
+    """A line in a third of all documents, repeated ids, passages of over 50 words in one and two lines, long texts."""
+    random.seed(21)
+    word = lambda: random.choice("ab") * random.randint(1, 2)
+    passage, halves = " ".join(f"p{k}" for k in range(60)), [" ".join(f"q{j}{k}" for k in range(30)) for j in range(2)]
+    rows = []
+    for i in range(120):
+        lines = [" ".join(word() for _ in range(random.randint(0, 2))) for _ in range(random.randint(1, 14))]
+        if i % 3 == 0:
+            lines.insert(len(lines) // 2, "the common line")
+        if i % 10 == 1:
+            lines.append(passage)
+        if i % 10 == 2:
+            lines[:0] = halves
+        rows.append((i // 2 if i % 7 else None, "\n".join(lines)))  # ids repeat, with different texts
+    rows += [(500, passage), (501, passage), (502, halves[0]), (503, "\n \n".join(halves)), (504, "\n".join(f"l{k % 700}" for k in range(3000))), (505, None), (506, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = naive_line_dedup(rows)
+    got = linededup.deduplicated(docs.withColumn("before", F.col("text"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_lines, r.n_removed, r.n_runs, r.text or "") == want[r.doc_id, r.before or ""], r
+    assert want[501, passage][1] == 1 and want[503, "\n \n".join(halves)][1] == 2 and want[502, halves[0]][1] == 0
+
+
 def test_queries_against_their_sql(spark, sf):
     import duckdb
 
