@@ -94,6 +94,23 @@ def test_substrings(spark, docs, none, keep, hot):
     assert substrings.removed(spark, none).count() == 0
 
 
+def test_previous_factors_against_all_pairs():
+    random.seed(4)
+    for _ in range(60):
+        span = random.choice([8, 16, 20])
+        blocks = [bytes(random.choices(b"ab", k=random.randint(1, 60))) for _ in range(random.randint(1, 5))]
+        blocks += blocks[:1] * random.randint(0, 1) + [b"a" * 50] * random.randint(0, 1)
+        owner, at, lpf, source = substrings.previous_factors(blocks, span)
+        places = [(k, p) for k, b in enumerate(blocks) for p in range(len(b))]
+        assert list(zip(owner.tolist(), at.tolist())) == places
+        for q, (k, p) in enumerate(places):
+            earlier = any(blocks[a][b : b + span] == blocks[k][p : p + span] for a, b in places[:q]) and p + span <= len(blocks[k])
+            assert (lpf[q] >= span) == earlier
+            if earlier:
+                a, b = places[source[q]]
+                assert source[q] < q and blocks[a][b : b + span] == blocks[k][p : p + span]
+
+
 def test_substrings_on_the_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
     assert as_set(substrings.removed(spark, df).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == collections.Counter(brute_substrings(list(map(tuple, df.collect())), "none"))

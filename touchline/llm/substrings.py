@@ -8,14 +8,16 @@ hash. Equal windows name equal anchors, so only windows of one anchor need compa
 Consecutive windows with one anchor form a block. Blocks that occur twice as a whole are
 repeated whole, which settles most copies on slim rows (anchor, block digest, place).
 Where an anchor has several different blocks, one of each is fetched, and the blocks of
-an anchor are compared together: the windows of their concatenation are put in suffix
-order (by their first ``span`` bytes; later bytes can't matter) and the neighbours within
-a run of suffixes that agree on ``span`` bytes are the previous smaller and next greater
-positions: they tell whether the longest previous (and next) factor reaches ``span``. Anchors with over ``HOT_BLOCKS`` different blocks are compared
-by window digests instead, counted with pre-aggregation, so no anchor fills a task.
+an anchor are compared together: a suffix array of their concatenation by prefix doubling,
+common prefixes of neighbours, and from the nearest smaller positions before and behind
+each place the longest previous factor of every position and where it is. A position whose
+factor has ``span`` bytes is a later copy, and the position of that factor a first one.
+Anchors with over ``HOT_BLOCKS`` different blocks are compared by window digests instead,
+counted with pre-aggregation, so no anchor fills a task.
 
-Bytes are UTF-8; windows never cross documents. Digests have 128 bits for windows and
-64 bits beside the 64-bit anchor for blocks. Texts are shuffled compressed.
+Bytes are UTF-8; windows never cross documents. Digests are cryptographic, of 128 bits, for
+blocks, beside the 64-bit anchor, and of 128 bits for windows of hot anchors. Blocks are
+written once; texts are shuffled compressed.
 
 Edge cases: null texts are empty; shorter texts than ``span`` stay whole; rows equal in
 id and text are copies of each other; a null id is an id like any other; very long texts
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, parts_for, stored
+from .common import bounded_batches, lean, parts_for, stored
 
 SPAN, GRAM = 200, 32
 HOT_BLOCKS = 4000
@@ -75,11 +77,9 @@ def anchors(data: bytes, span: int = SPAN):
 
 def _blocks(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_64_intdigest
+        digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
         names = ["id", "th", "a", "size", "cover", "n", "anchor", "block"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             cols: list[list] = [[] for _ in names]
 
@@ -103,7 +103,7 @@ def _blocks(span: int):
                     if row:
                         for c, x in zip(cols, row):
                             c.append(x)
-                    row, prior = [i, th, s, e + span - s, e + span - s, 1, h, d - (1 << 64) if d >> 63 else d], (d, h)
+                    row, prior = [i, th, s, e + span - s, e + span - s, 1, h, d], (d, h)
                 for c, x in zip(cols, row):
                     c.append(x)
                 if len(cols[0]) > 20_000:
@@ -129,7 +129,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     coder = zstandard.ZstdDecompressor()
     names = ["anchor", "block", "n", "id", "th", "a", "hot", "data"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     for b in batches:
         rows = []
         for i, th, z, want in zip(*(b.column(k).to_pylist() for k in range(4))):
@@ -138,24 +138,117 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
 
-def repeats(blocks: list[bytes], span: int = SPAN):
-    """For the windows of each block (in text order): (block number, window start, has an earlier equal window, has a later one)."""
+def suffixes(data, cut, depth: int):
+    """Suffix array of ``data`` by its first ``depth`` bytes or more, ties by position, and the ranks of each doubling.
+
+    ``cut``: for each position the bytes left in its block; a suffix ends there, and what
+    follows it sorts as nothing.
+    """
+    import numpy as np
+
+    n = len(data)
+    padded = np.append(data, np.zeros(8, dtype=np.uint8)).astype(np.uint64)
+    word = np.zeros(n, dtype=np.uint64)
+    for i in range(7):  # seven bytes, and how many of them are there
+        word = word << np.uint64(8) | np.where(cut > i, padded[i : i + n], np.uint64(0))
+    word = word << np.uint64(8) | np.minimum(cut, 7).astype(np.uint64)
+    rank, tied = np.zeros(n, dtype=np.int64), np.arange(n)
+    ranks, k, key = [], 7, word
+    while True:
+        # suffixes whose rank isn't theirs alone, put in order by it and by what follows; a rank is the number of smaller suffixes
+        by = np.argsort(key, kind="stable")
+        here, key, old = tied[by], key[by], rank[tied[by]]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (old[1:] != old[:-1]))[: len(here)]
+        group = np.append(True, old[1:] != old[:-1])[: len(here)]
+        place = np.arange(len(here))
+        rank = rank.copy()
+        rank[here] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        tied = here[~(fresh & np.append(fresh[1:], True)[: len(here)])]
+        ranks.append((k, rank))
+        if k >= depth or not len(tied):
+            return np.argsort(rank, kind="stable"), ranks
+        behind = np.minimum(tied + k, n - 1)
+        key = rank[tied] * (n + 2) + np.where(cut[tied] > k, rank[behind] + 1, 0)
+        k *= 2
+
+
+def common(i, j, data, cut, ranks, span: int):
+    """Length of the longest common prefix of the suffixes at ``i`` and ``j``, in whole steps of the first rank but exact just below ``span``."""
+    import numpy as np
+
+    i, j, left = i.copy(), j.copy(), np.minimum(cut[i], cut[j])
+    length, n = np.zeros(len(i), dtype=np.int64), len(cut)
+    for k, rank in reversed(ranks):
+        same = (left >= k) & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
+        step = np.where(same, k, 0)
+        length, i, j, left = length + step, i + step, j + step, left - step
+    near = np.flatnonzero((length < span) & (length + ranks[0][0] > span))
+    for _ in range(ranks[0][0] - 1):
+        near = near[left[near] > 0]
+        near = near[data[i[near]] == data[j[near]]]
+        length[near] += 1
+        i[near] += 1
+        j[near] += 1
+        left[near] -= 1
+    return length
+
+
+def nearest_smaller(order, lcp, span: int):
+    """For each place of the suffix array: the place before it of the nearest smaller position and the least lcp on the way (-1 and 0 if under ``span``).
+
+    Pointers jump over places with larger positions, all at once; each round doubles what a pointer has behind it.
+    """
     import numpy as np
 
-    joined = np.frombuffer(b"".join(blocks), dtype=np.uint8)
+    to = np.where(lcp >= span, np.arange(len(order)) - 1, -1)
+    least = lcp.copy()
+    active = np.flatnonzero(to >= 0)
+    active = active[order[to[active]] > order[active]]
+    while len(active):
+        over = to[active]
+        reach = np.minimum(least[active], least[over])
+        to[active], least[active] = to[over], reach
+        active = active[to[active] >= 0]
+        active = active[order[to[active]] > order[active]]
+    least[(to < 0)] = 0
+    return to, least
+
+
+def previous_factors(blocks: list[bytes], span: int = SPAN):
+    """Longest previous factors of the blocks' concatenation: (block of each position, place in it, lpf, an earlier position that has it or -1).
+
+    Factors end with their block; those under ``span`` bytes aren't looked for (0). In suffix order the longest earlier match of a
+    position is at the nearest place before or behind it with a smaller position.
+    """
+    import numpy as np
+
+    data = np.frombuffer(b"".join(blocks), dtype=np.uint8)
     sizes = np.array([len(b) for b in blocks], dtype=np.int64)
-    begins = np.cumsum(sizes) - sizes
-    count = np.maximum(sizes - span + 1, 0)
-    owner = np.repeat(np.arange(len(blocks)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    # the suffixes that are windows, in order of their first span bytes, then of position
-    text = np.lib.stride_tricks.sliding_window_view(joined, span)[begins[owner] + at].view(f"S{span}").ravel()
-    order = np.argsort(text, kind="stable")
-    same = text[order[1:]] == text[order[:-1]]
-    # within a run that agrees on span bytes positions ascend: the previous smaller position is the one before
-    earlier, later = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
-    earlier[order[1:]], later[order[:-1]] = same, same
-    return owner, at, earlier, later
+    owner = np.repeat(np.arange(len(blocks)), sizes)
+    at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    cut = sizes[owner] - at
+    order, ranks = suffixes(data, cut, span)
+    lcp = np.zeros(len(order) + 1, dtype=np.int64)
+    lcp[1:-1] = common(order[1:], order[:-1], data, cut, ranks, span)
+    up, up_lcp = nearest_smaller(order, lcp[:-1], span)
+    down, down_lcp = nearest_smaller(order[::-1], lcp[::-1][:-1], span)
+    down, down_lcp = np.where(down[::-1] >= 0, len(order) - 1 - down[::-1], -1), down_lcp[::-1]
+    best = np.where(up_lcp >= down_lcp, up, down)
+    lpf, source = np.zeros(len(order), dtype=np.int64), np.full(len(order), -1, dtype=np.int64)
+    lpf[order] = np.maximum(up_lcp, down_lcp)
+    source[order] = np.where(best >= 0, order[np.maximum(best, 0)], -1)
+    return owner, at, lpf, source
+
+
+def repeats(blocks: list[bytes], span: int = SPAN):
+    """For each position of the blocks (in text order): (block number, place in it, has an earlier equal window, is the earlier one of another)."""
+    import numpy as np
+
+    owner, at, lpf, source = previous_factors(blocks, span)
+    later = lpf >= span
+    first = np.zeros(len(at), dtype=bool)
+    first[source[later]] = True
+    return owner, at, later, first
 
 
 def _runs(owner, at, flag) -> dict[int, list[dict]]:
@@ -183,11 +276,11 @@ def _ordered(span: int, keep: str):
 
         def resolved():
             held.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[4]))
-            owner, at, earlier, later = repeats([r[5] for r in held], span)
-            found = _runs(owner, at, earlier if keep == "first" else earlier | later)
+            owner, at, later, first = repeats([r[5] for r in held], span)
+            found = _runs(owner, at, later if keep == "first" else later | first)
             rows = [(held[b][0], held[b][1], runs) for b, runs in found.items()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], RUNS)],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], RUNS)],
                 ["anchor", "block", "runs"],
             )
 
@@ -210,7 +303,7 @@ def _windows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         names = ["anchor", "block", "id", "th", "a", "s", "w1", "w2"]
         for b in batches:
             rows = []
@@ -260,9 +353,9 @@ def removed(
     bounded_batches(spark)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))
-    block_schema = "id long, th int, a int, size int, cover int, n long, anchor long, block long"
-    blocks = rows.mapInArrow(_blocks(span), block_schema)
-    packed = rows.mapInArrow(_packed, "id long, th int, z binary")
+    block_schema = "id long, th int, a int, size int, cover int, n long, anchor long, block binary"
+    blocks = stored(spark, rows.mapInArrow(lean(_blocks(span)), block_schema), "substrings")
+    packed = rows.mapInArrow(lean(_packed), "id long, th int, z binary")
     # one row per different block: occurrences and the first place
     different = blocks.groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "a")).alias("at"), F.max("size").alias("size"))
     shared = different.groupBy(F.col("anchor").alias("__anchor")).agg(F.count("*").alias("blocks"), F.sum("n").alias("places")).where("places > 1")
@@ -277,14 +370,14 @@ def removed(
     own = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     # rows equal in id and text would fetch the same blocks twice; equal blocks would then match themselves
     fetched = packed.join(wanted, own).select("id", "th", "z", "want").mapInArrow(
-        _fetched, "anchor long, block long, n long, id long, th int, a int, hot boolean, data binary"
+        lean(_fetched), "anchor long, block binary, n long, id long, th int, a int, hot boolean, data binary"
     )
     fetched = stored(spark, fetched, "substrings")
     single = ["anchor", "block", "id", "th", "a", "data"]
     cold = fetched.where("NOT hot").select(*single).repartition(parts, "anchor").sortWithinPartitions("anchor", "block").dropDuplicates(["anchor", "block"])
-    cold = cold.sortWithinPartitions("anchor").mapInArrow(_ordered(span, keep), "anchor long, block long, runs array<struct<s: int, e: int>>")
+    cold = cold.sortWithinPartitions("anchor").mapInArrow(lean(_ordered(span, keep)), "anchor long, block binary, runs array<struct<s: int, e: int>>")
     windows = fetched.where("hot").select(*single).dropDuplicates(["anchor", "block"]).mapInArrow(
-        _windows(span), "anchor long, block long, id long, th int, a int, s int, w1 long, w2 long"
+        lean(_windows(span)), "anchor long, block binary, id long, th int, a int, s int, w1 long, w2 long"
     )
     place = F.struct("id", "th", "a", "s")
     equal = windows.groupBy(F.col("w1").alias("__w1"), F.col("w2").alias("__w2")).agg(F.count("*").alias("c"), F.min(place).alias("__first")).where("c > 1")
@@ -312,7 +405,7 @@ def removed(
     met = met.select(F.col("id").alias("__id"), F.col("th").alias("__th"), both.alias("spans")).groupBy("__id", "__th")
     met = met.agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return packed.join(met, own, "left").select("id", "z", "spans").mapInArrow(
-        _cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: bigint, end: bigint>>"
+        lean(_cut), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: bigint, end: bigint>>"
     )
 
 
