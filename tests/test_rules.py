@@ -88,6 +88,8 @@ def test_upserts(spark):
 
 EVENTS = [
     {"id": "x0", "minute": 0, "type": {"name": "Starting XI"}, "team": {"id": 1, "name": "H"}},
+    {"id": "x1", "minute": 0, "type": {"name": "Starting XI"}, "team": {"id": 2, "name": "A"}},
+    {"id": "b1", "minute": 60, "type": {"name": "Bad Behaviour"}, "player": {"id": 5, "name": "O"}, "team": {"id": 2, "name": "A"}, "bad_behaviour": {"card": {"name": "Second Yellow"}}},
     {"id": "s1", "minute": 3, "type": {"name": "Shot"}, "player": {"id": 9, "name": "N"}, "team": {"id": 1, "name": "H"}, "location": [108.0, 40.0],
      "shot": {"statsbomb_xg": 0.2, "outcome": {"name": "Goal"}, "body_part": {"name": "Knee"}, "freeze_frame": [
          {"teammate": False, "location": [114.0, 40.0], "position": {"name": "Center Back"}}, {"teammate": False, "location": [119.0, 40.0], "position": {"name": "Goalkeeper"}}]}},
@@ -115,7 +117,7 @@ def root(tmp_path):
 def test_events(spark, root):
     ev = readers.events(spark, root)
     s = {r.player_id: r for r in E.player_stats(ev).collect()}
-    assert (s[8].passes_attempted, s[8].passes_completed, s[8].pass_accuracy, s[8].progressive_passes, s[8].progressive_carries) == (3, 2, 66.67, 1, 1)
+    assert (s[8].passes_attempted, s[8].passes_completed, s[8].pass_accuracy, s[8].progressive_passes, s[8].progressive_carries) == (3, 2, 66.67, 2, 1)  # an incomplete pass can be progressive
     assert s[8].xa == pytest.approx(0.2 + 0.3) and (s[8].minutes_played, s[9].minutes_played, s[9].goals) == (70, 94, 1)
     edge = E.pass_edges(ev).first()
     assert (edge.match_id, edge.passer_id, edge.receiver_id, edge.pass_count, edge.avg_x_end) == (77, 8, 9, 2, 85.0)
@@ -123,9 +125,12 @@ def test_events(spark, root):
     assert snap[1, 3].pass_acc_so_far == 100 and snap[1, 8].pass_acc_so_far == 66.67 and (1, 6) not in snap and snap[1, 70].goals_so_far == 1
     shot = E.shots(ev).orderBy("minute").first()
     assert (shot.distance, shot.angle, shot.defenders_in_cone, shot.gk_dist_to_goal, shot.body_part) == (12.0, 0.6435, 1, 1.0, "Other")
-    assert E.match_summary(ev).first().home_goals == 1
+    assert (s[5].yellow_cards, s[5].red_cards) == (1, 0)  # a second yellow is a yellow
+    both = E.match_summary(ev).first()
+    assert (both.home_team_id, both.away_team_id, both.home_goals, both.away_goals, both.home_xg) == (1, 2, 1, 0, 0.6)
+    assert E.match_summary(ev.where("id <> 'x1'")).first().home_goals == 0  # one line-up names no sides
     assert E.starting_positions(readers.lineups(spark, root)).collect() == [(77, 8, "Center")]
-    assert {r.reason: r.n for r in E.validity(ev).collect()} == {"valid": 10}
+    assert {r.reason: r.n for r in E.validity(ev).collect()} == {"valid": 10, "missing player": 2}
     assert readers.csv_file(spark, f"{root}/p.csv").columns == ["player_id", "full_name"]
 
 

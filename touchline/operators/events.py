@@ -25,8 +25,8 @@ def _flat(events: DataFrame) -> DataFrame:
 
 def expected_assists(e: DataFrame) -> DataFrame:
     """(match_id, player_id, xa): xG of the linked shots; a goal assist without a link counts the match's mean xG."""
-    shots = e.where("kind = 'Shot'").select(F.col("match_id").alias("__m"), F.col("id").alias("__shot"), F.col("xg").alias("shot_xg"))
-    mean = shots.groupBy("__m").agg(F.avg(F.coalesce("shot_xg", F.lit(0.0))).alias("mean_xg"))
+    shots = e.where("kind = 'Shot'").select(F.col("match_id").alias("__m"), F.col("id").alias("__shot"), F.coalesce("xg", F.lit(0.0)).alias("shot_xg"))
+    mean = shots.groupBy("__m").agg(F.avg("shot_xg").alias("mean_xg"))
     passes = e.where("kind = 'Pass' AND (assisted_shot_id IS NOT NULL OR goal_assist)")
     linked = passes.join(shots, (F.col("match_id") == F.col("__m")) & (F.col("assisted_shot_id") == F.col("__shot")), "left").drop("__m")
     linked = linked.join(mean, F.col("match_id") == F.col("__m"), "left")
@@ -48,14 +48,14 @@ def player_stats(events: DataFrame) -> DataFrame:
         n(k == "Shot").alias("shots"), F.round(F.sum(F.when(k == "Shot", F.coalesce("xg", F.lit(0.0))).otherwise(0.0)), 4).alias("xg"),
         n((k == "Pass") & (F.coalesce("shot_assist", F.lit(False)) | F.coalesce("goal_assist", F.lit(False)))).alias("key_passes"),
         n(k == "Pass").alias("passes_attempted"), n(done).alias("passes_completed"),
-        n(done & (gain_pass >= S.PROGRESSIVE_PASS)).alias("progressive_passes"),
+        n((k == "Pass") & (gain_pass >= S.PROGRESSIVE_PASS)).alias("progressive_passes"),
         F.round(F.sum(F.when(k == "Carry", F.coalesce(S.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")), F.lit(0.0))).otherwise(0.0)), 2).alias("carry_distance"),
         n((k == "Carry") & (gain_carry >= S.PROGRESSIVE_CARRY) & (F.col("cx") >= S.CARRY_END_X)).alias("progressive_carries"),
         n((k == "Dribble") & (F.col("dribble_outcome") == "Complete")).alias("dribbles_completed"),
         n((k == "Duel") & (F.col("duel_type") == "Tackle")).alias("tackles"), n(k == "Interception").alias("interceptions"),
         n(k == "Clearance").alias("clearances"), n(k == "Pressure").alias("pressures"),
-        n((k == "Bad Behaviour") & F.col("card").isin("Yellow Card")).alias("yellow_cards"),
-        n((k == "Bad Behaviour") & F.col("card").isin("Red Card", "Second Yellow")).alias("red_cards"),
+        n((k == "Bad Behaviour") & F.col("card").isin("Yellow Card", "Second Yellow")).alias("yellow_cards"),
+        n((k == "Bad Behaviour") & (F.col("card") == "Red Card")).alias("red_cards"),
         F.min_by(F.when(k == "Substitution", F.col("minute")), F.when(k == "Substitution", F.col("seq"))).alias("sub_minute"),
     )
     last = e.groupBy(F.col("match_id").alias("__m")).agg(F.max("minute").alias("__last"))
@@ -69,15 +69,18 @@ def player_stats(events: DataFrame) -> DataFrame:
 
 
 def match_summary(events: DataFrame) -> DataFrame:
-    """(match_id, home_team_id, goals and xG of both sides, total events); home has the first Starting XI."""
+    """(match_id, both team ids, goals and xG of both sides, total events); the first two Starting XI events name home and away, one alone names nobody."""
     e = _flat(events)
-    home = e.where("kind = 'Starting XI'").groupBy(F.col("match_id").alias("__m")).agg(F.min_by("team_id", "seq").alias("home_team_id"))
-    rows = e.join(home, F.col("match_id") == F.col("__m"), "left").drop("__m")
-    own, goal = F.col("team_id") == F.col("home_team_id"), F.when(F.col("shot_outcome") == "Goal", 1).otherwise(0)
-    xg = F.coalesce("xg", F.lit(0.0))
+    listed = e.where("kind = 'Starting XI' AND team_id IS NOT NULL").select(F.col("match_id").alias("__m"), "seq", "team_id")
+    sides = listed.groupBy("__m").agg(F.sort_array(F.collect_list(F.struct("seq", "team_id")))["team_id"].alias("__t")).where(F.size("__t") >= 2)
+    rows = e.join(sides.select("__m", F.col("__t")[0].alias("home_team_id"), F.col("__t")[1].alias("away_team_id")), F.col("match_id") == F.col("__m"), "left").drop("__m")
+    shot, home = F.col("kind") == "Shot", F.col("team_id") == F.col("home_team_id")
+    away = ~home & (F.col("team_id") == F.col("away_team_id"))
+    goals = lambda side: F.sum(F.when(shot & side & (F.col("shot_outcome") == "Goal"), 1).otherwise(0))
+    xg = lambda side: F.round(F.sum(F.when(shot & side, F.coalesce("xg", F.lit(0.0))).otherwise(0.0)), 4)
     return rows.groupBy("match_id").agg(
-        F.first("home_team_id", True).alias("home_team_id"), F.sum(F.when(own, goal).otherwise(0)).alias("home_goals"), F.sum(F.when(~own, goal).otherwise(0)).alias("away_goals"),
-        F.round(F.sum(F.when(own, xg).otherwise(0.0)), 4).alias("home_xg"), F.round(F.sum(F.when(~own, xg).otherwise(0.0)), 4).alias("away_xg"), F.count("*").alias("total_events"),
+        F.max("home_team_id").alias("home_team_id"), F.max("away_team_id").alias("away_team_id"), goals(home).alias("home_goals"), goals(away).alias("away_goals"),
+        xg(home).alias("home_xg"), xg(away).alias("away_xg"), F.count("*").alias("total_events"),
     )
 
 
@@ -98,7 +101,7 @@ def snapshots(events: DataFrame) -> DataFrame:
     per = e.groupBy("match_id", "team_id", "minute").agg(
         n((k == "Shot") & (F.col("shot_outcome") == "Goal")).alias("goals"), F.sum(F.when(k == "Shot", F.coalesce("xg", F.lit(0.0))).otherwise(0.0)).alias("xg"),
         n(k == "Shot").alias("shots"), n(k == "Pass").alias("passes"), n((k == "Pass") & F.col("pass_outcome").isNull()).alias("done"),
-        n(k == "Pressure").alias("pressures"), n((k == "Bad Behaviour") & F.col("card").isin("Red Card", "Second Yellow")).alias("reds"),
+        n(k == "Pressure").alias("pressures"), n((k == "Bad Behaviour") & (F.col("card") == "Red Card")).alias("reds"),
     )
     w = Window.partitionBy("match_id", "team_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
     run = {c: F.sum(c).over(w) for c in ("goals", "xg", "shots", "passes", "done", "pressures", "reds")}
@@ -120,29 +123,30 @@ def shots(events: DataFrame) -> DataFrame:
     """One row per shot with geometry and freeze-frame features."""
     e = events.where(F.col("type.name") == "Shot").where(F.size("location") >= 2)
     x, y = F.col("location")[0], F.col("location")[1]
-    frame = F.filter("shot.freeze_frame", lambda p: ~p["teammate"] & (F.size(p["location"]) >= 2))
-    keeper = F.filter(frame, lambda p: p["position"]["name"] == "Goalkeeper")
-    field = F.filter(frame, lambda p: p["position"]["name"] != "Goalkeeper")
+    # a player without a team flag is an opponent, one without a position an outfield player
+    opponents = F.filter("shot.freeze_frame", lambda p: ~F.coalesce(p["teammate"], F.lit(False)))
+    frame = F.filter(opponents, lambda p: F.coalesce(F.size(p["location"]) >= 2, F.lit(False)))
+    in_goal = lambda p: F.coalesce(p["position"]["name"] == "Goalkeeper", F.lit(False))
+    keeper, field = F.filter(frame, in_goal), F.filter(frame, lambda p: ~in_goal(p))
     gk = F.try_element_at(keeper, F.lit(-1))["location"]
     to = lambda p: S.distance(p["location"][0], p["location"][1], x, y)
     cone = lambda p: S.in_cone(p["location"][0], p["location"][1], x, y)
     return e.select(
-        F.col("id").alias("sb_event_id"), "match_id", F.col("player.id").alias("player_id"), F.col("team.id").alias("team_id"), "minute", x.alias("x"), y.alias("y"),
+        F.col("id").alias("sb_event_id"), "match_id", F.col("player.id").alias("player_id"), F.col("team.id").alias("team_id"), "minute", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"),
         F.round(S.distance(x, y), 3).alias("distance"), F.round(S.shot_angle(x, y), 4).alias("angle"), S.body_part(F.col("shot.body_part.name")).alias("body_part"),
         F.col("shot.type.name").alias("shot_type"), F.col("shot.technique.name").alias("technique"), F.col("play_pattern.name").alias("play_pattern"),
         F.coalesce("under_pressure", F.lit(False)).alias("under_pressure"), F.coalesce("shot.first_time", F.lit(False)).alias("first_time"),
-        F.size(F.filter(field, cone)).alias("defenders_in_cone"), F.round(F.array_min(F.transform(field, to)), 3).alias("dist_to_nearest_def"),
+        F.when(F.size(opponents) > 0, F.size(F.filter(field, cone))).alias("defenders_in_cone"), F.round(F.array_min(F.transform(field, to)), 3).alias("dist_to_nearest_def"),
         F.round(S.distance(gk[0], gk[1]), 3).alias("gk_dist_to_goal"), F.round(S.distance(gk[0], gk[1], x, y), 3).alias("gk_dist_to_shot"),
-        F.col("shot.statsbomb_xg").alias("statsbomb_xg"), (F.col("shot.outcome.name") == "Goal").alias("is_goal"),
+        F.col("shot.statsbomb_xg").alias("statsbomb_xg"), F.coalesce(F.col("shot.outcome.name") == "Goal", F.lit(False)).alias("is_goal"),
     )
 
 
 def validity(events: DataFrame) -> DataFrame:
     """(reason, n): events by the first rule that they break, 'valid' if none."""
     reason = (
-        F.when(F.col("id").isNull(), "missing id").when(F.col("type.name").isNull(), "missing type").when(F.col("minute").isNull(), "missing minute")
-        .when(F.col("minute") < 0, "negative minute").when(F.col("team.id").isNull(), "missing team")
-        .when(F.col("location").isNotNull() & (F.size("location") < 2), "bad location").otherwise("valid")
+        F.when(F.col("player").isNull(), "missing player").when(F.col("player.id").isNull(), "player without id")
+        .when(F.col("type").isNull(), "missing type").when(F.col("type.name").isNull(), "type without name").otherwise("valid")
     )
     return events.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -150,8 +154,8 @@ def validity(events: DataFrame) -> DataFrame:
 def preset(events: DataFrame, name: str) -> DataFrame:
     """Events of a preset: all, attack, defence or setpiece."""
     kinds = {
-        "attack": ["Shot", "Pass", "Carry", "Dribble"],
+        "attack": ["Shot", "Dribble", "Carry"],
         "defence": ["Duel", "Interception", "Clearance", "Pressure", "Block"],
-        "setpiece": ["Foul Won", "Foul Committed", "Offside"],
+        "setpiece": ["Pass", "Free Kick", "Corner Received"],
     }
     return events if name == "all" else events.where(F.col("type.name").isin(kinds[name]))

@@ -26,8 +26,9 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Col
     return both.select(*[F.coalesce(f"old.{k}", f"new.{k}").alias(k) for k in keys], *[r.alias(c) for c, r in rules.items()])
 
 
-def overwrite(c: str) -> Column:
-    return F.coalesce(f"new.{c}", f"old.{c}")
+def overwrite(c: str, key: str) -> Column:
+    """The new value wherever there is a new row, null too; ``key`` is a key column of it."""
+    return F.when(F.col(f"new.{key}").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
 
 
 def fill_only(c: str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dataframes, modelling, texts
+from . import dataframes, matches, modelling, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (texts, dataframes, modelling):
+for _part in (texts, dataframes, matches, modelling):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -211,7 +211,7 @@ def upsert_first_wins(spark, d):
 
 @query("upsert_merged", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(o.k, n.k) AS k, coalesce(o.name, n.name) AS name, round(coalesce(n.v, o.v), 2) AS v FROM o FULL JOIN n ON o.k = n.k")
 def upsert_merged(spark, d):
-    return upsert.merged(*_old_new(spark, d), ["k"], {"name": upsert.fill_only("name"), "v": F.round(upsert.overwrite("v"), 2)})
+    return upsert.merged(*_old_new(spark, d), ["k"], {"name": upsert.fill_only("name"), "v": F.round(upsert.overwrite("v", "k"), 2)})
 
 
 @query("conditional_rename", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN s_name WHEN s_suppkey % 4 = 1 THEN 'Team ' || s_suppkey ELSE 'real' END AS name FROM supplier")
