@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def with_fold(rows: DataFrame, group: str, k: int) -> DataFrame:
-    """Fold 0 to k - 1 by the hash of the group: no group is in two folds, and reruns agree."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(k)).cast("int"))
+    """Fold 0 to k - 1 by the digest of the group (0 for null): no group is in two folds, and reruns agree."""
+    digest = F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 15), 16, 10).cast("long")
+    return rows.withColumn("fold", F.coalesce(F.pmod(digest, F.lit(k)), F.lit(0)).cast("int"))
 
 
 def seasons(rows: DataFrame, season: str, least_rows: int = 30, positive: str | None = None, least_positive: int = 5) -> Iterator[tuple[object, DataFrame, DataFrame]]:

@@ -13,6 +13,10 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .evaluation import cross_validated
+
+CALIBRATION_FOLDS = 3
+
 
 def kmeans(rows: DataFrame, vector: str, k: int, seed: int, restarts: int = 1) -> DataFrame:
     """Rows with ``cluster`` from the best of ``restarts`` seeded fits."""
@@ -66,12 +70,14 @@ def components(rows: DataFrame, vector: str, k: int):
 
 
 def calibrated(rows: DataFrame, label: str, score: str):
-    """Isotonic calibration, kept only if it lowers the Brier score; (model or None, before, after)."""
+    """Isotonic calibration, kept only if it lowers the Brier score out of fold; (model of all rows or None, before, after)."""
     data = rows.select(F.col(score).alias("features"), F.col(label).cast("double").alias("label"))
-    model = IsotonicRegression().fit(data)
+    # rows of one score and label are one fold's, so no fold's model has seen them
+    data = data.withColumn("fold", F.pmod(F.xxhash64("features", "label"), F.lit(CALIBRATION_FOLDS)).cast("int"))
+    judged = cross_validated(data, CALIBRATION_FOLDS, IsotonicRegression().fit)
     brier = lambda df, c: df.agg(F.avg(F.pow(F.col(c) - F.col("label"), F.lit(2.0)))).first()[0]
-    before, after = brier(data, "features"), brier(model.transform(data), "prediction")
-    return (model if after < before else None), before, after
+    before, after = brier(data, "features"), brier(judged, "prediction")
+    return (IsotonicRegression().fit(data) if after < before else None), before, after
 
 
 def collinear(rows: DataFrame, columns: list[str], priority: list[str] = (), limit: float = 0.9) -> list[str]:

@@ -92,3 +92,20 @@ def average_rank(value: str | Column, keys: list[str] = (), descending: bool = F
     c = F.col(value) if isinstance(value, str) else value
     by = Window.partitionBy(*keys).orderBy(c.desc() if descending else c.asc())
     return F.rank().over(by) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
+
+
+def cumulated(counts: DataFrame, value: str, sums: list[str], ranges: int = 64) -> DataFrame:
+    """``counts`` (a row per distinct value) with before_x, the sum of each column x over smaller values.
+
+    Values are dealt to ranges by approximate quantiles (one short row, the only thing broadcast), summed by range, and
+    cumulated inside each: only the sums of the ranges meet in one task.
+    """
+    marks = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("__marks"))
+    dealt = counts.crossJoin(F.broadcast(marks)).withColumn("__range", F.size(F.filter(F.coalesce("__marks", F.array()), lambda m: m < F.col(value)))).drop("__marks")
+    per = dealt.groupBy(F.col("__range").alias("__at")).agg(*[F.sum(x).alias(f"__{x}") for x in sums])
+    ahead = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__at", *[F.coalesce(F.sum(f"__{x}").over(ahead), F.lit(0)).alias(f"__{x}") for x in sums])
+    inside = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumns({f"before_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums})
+    joined = within.join(F.broadcast(per), F.col("__range") == F.col("__at"))
+    return joined.withColumns({f"before_{x}": F.col(f"before_{x}") + F.col(f"__{x}") for x in sums}).drop("__range", "__at", *[f"__{x}" for x in sums])

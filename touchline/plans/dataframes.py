@@ -244,11 +244,17 @@ def token_subset_join(spark, d):
     return joins.token_subset(left, "a", "ln", right.unionByName(more), "b", "rn")
 
 
-@query("name_containment_join", "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a JOIN region b ON substr(a.n_name, 1, 1) = substr(b.r_name, 1, 1) AND (contains(a.n_name, b.r_name) OR contains(b.r_name, a.n_name))")
+@query("name_containment_join", """WITH n AS (SELECT n_nationkey AS a, trim(regexp_replace(regexp_replace(lower(n_name || ' ' || chr(CAST(97 + n_nationkey AS INT))), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS an FROM nation),
+r AS (SELECT n_nationkey AS b, trim(regexp_replace(regexp_replace(lower('old ' || n_name || ' ' || chr(CAST(97 + n_nationkey AS INT)) || r_name), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS bn
+  FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 100 + r_regionkey, lower(substr(r_name, 1, 1)) FROM region)
+SELECT a, b FROM n JOIN r ON contains(an, bn) OR contains(bn, an)""")
 def name_containment_join(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), S.norm_name(F.col("n_name")).alias("an"))
-    r = table(spark, d, "region").select(F.col("r_regionkey").alias("b"), S.norm_name(F.col("r_name")).alias("bn"))
-    return joins.contains_either_way(n, "an", r, "bn").select("a", "b")
+    letter = F.expr("chr(97 + n_nationkey)")
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name", F.col("n_nationkey").alias("a"), S.norm_name(F.concat_ws(" ", "n_name", letter)).alias("an"))
+    r = table(spark, d, "region")
+    long = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("b"), S.norm_name(F.concat(F.lit("old "), "n_name", F.lit(" "), letter, "r_name")).alias("bn"))
+    short = r.select((100 + F.col("r_regionkey")).alias("b"), S.norm_name(F.substring("r_name", 1, 1)).alias("bn"))
+    return joins.contains_either_way(n.select("a", "an"), "an", long.unionByName(short), "bn").select("a", "b")
 
 
 @query("fuzzy_block_join", """WITH l AS (SELECT n_nationkey AS a, n_name AS an, substr(string_split(n_name, ' ')[-1], 1, 1) AS k FROM nation), r AS (SELECT n_nationkey AS b, left(n_name, -1) AS bn FROM nation),
@@ -316,12 +322,13 @@ def cluster_centroid_distance(spark, d):
     return pairs.groupBy(F.col("a.label").alias("a"), F.col("b.label").alias("b")).agg(F.round(F.sqrt(F.sum(F.pow(F.col("a.m") - F.col("b.m"), F.lit(2)))), 5).alias("distance"))
 
 
-@query("group_folds", "SELECT count(*) AS rows_in_two_folds FROM (SELECT l_orderkey FROM lineitem WHERE false)")
+@query("group_folds", """WITH f AS (SELECT l_orderkey, CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 15))::BIGINT % 5 AS INT) AS fold FROM lineitem)
+SELECT fold, count(DISTINCT l_orderkey) AS n_groups, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM f GROUP BY fold""")
 def group_folds(spark, d):
     from ..operators.evaluation import with_fold
 
     f = with_fold(table(spark, d, "lineitem"), "l_orderkey", 5)
-    return f.groupBy("l_orderkey").agg(F.count_distinct("fold").alias("n")).where("n > 1").agg(F.count("*").alias("rows_in_two_folds"))
+    return f.groupBy("fold").agg(F.count_distinct("l_orderkey").alias("n_groups"), F.count("*").alias("n"), F.sum("l_orderkey").alias("key_sum"))
 
 
 @query("cluster_kmeans")

@@ -202,9 +202,9 @@ add("safe_casts", """SELECT event_id, TRY_CAST(TRY_CAST(json_extract_string(prop
 add("json_extract", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type", "SELECT event_type, count(*) AS n, sum(CAST(variant_get(parse_json(props), '$.k', 'bigint') AS BIGINT)) AS total FROM events GROUP BY event_type")
 add("ladder_labels", """SELECT event_id, CASE WHEN value >= 95 THEN 'heavy_rain' WHEN value >= 80 THEN 'rain' WHEN coalesce(value, 0) >= 50 THEN 'windy' WHEN value < 5 THEN 'cold' ELSE 'clear' END AS label FROM events""")
 add("bucketed_recency", """SELECT c_custkey, CASE WHEN d < 0 THEN 'no_history' WHEN d <= 30 THEN '0-30d' WHEN d <= 90 THEN '31-90d' ELSE '91-180d' END AS bucket FROM (
-  SELECT c_custkey, least(180, coalesce(max(date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-02')), -1)) AS d FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate >= DATE '2001-01-01' GROUP BY c_custkey) AS t""",
+  SELECT c_custkey, least(180, coalesce(date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-08-02'), -1)) AS d FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate < DATE '2001-08-02' GROUP BY c_custkey) AS t""",
 """SELECT c_custkey, CASE WHEN d < 0 THEN 'no_history' WHEN d <= 30 THEN '0-30d' WHEN d <= 90 THEN '31-90d' ELSE '91-180d' END AS bucket FROM (
-  SELECT c_custkey, least(180, coalesce(max(datediff(DATE '2001-08-02', CAST(o_orderdate AS DATE))), -1)) AS d FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate >= DATE '2001-01-01' GROUP BY c_custkey) AS t""")
+  SELECT c_custkey, least(180, coalesce(datediff(DATE '2001-08-02', CAST(max(o_orderdate) AS DATE)), -1)) AS d FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate < DATE '2001-08-02' GROUP BY c_custkey) AS t""")
 add("per90_rates", "SELECT l_partkey AS player_id, round(sum(l_discount) / (sum(l_quantity) / 90.0), 6) AS xg_per90, round(ln(1 + greatest(0.0, sum(l_tax))), 6) AS log_tax FROM lineitem GROUP BY l_partkey HAVING sum(l_quantity) > 0")
 add("missing_work_list", """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
 add("zero_share", "SELECT round(avg(CASE WHEN l_discount = 0 THEN 1.0 ELSE 0.0 END), 6) AS discount_zero, round(avg(CASE WHEN l_tax = 0 THEN 1.0 ELSE 0.0 END), 6) AS tax_zero, round(stddev_samp(l_quantity), 6) AS quantity_std, median(l_quantity) AS quantity_median FROM lineitem")
