@@ -7,6 +7,7 @@ executors share, so a lost executor costs a re-read and never a lost result.
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,12 +21,13 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; without one a single machine uses its warehouse folder, a cluster must name one."""
+    """The shared folder of the cluster. A cluster must name one; a single process (tests) gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/touchline-shared"
+        where = tempfile.mkdtemp(prefix="touchline-shared-")
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
