@@ -19,7 +19,7 @@ _FLAT = """SELECT CAST(floor(o / 16) AS BIGINT) AS match_id, (o % 16) * 8 + ln A
   CASE WHEN ln = 1 AND o % 16 < 2 OR p % 23 = 0 THEN NULL ELSE s % 10 + 1 END AS player_id,
   CASE WHEN ln = 1 AND o % 16 < 2 THEN o % 2 + 1 ELSE s % 2 + 1 END AS team_id, p % 29 = 0 AS nowhere,
   CAST((p * 7 + s * 3 + ln * 11) % 120 AS DOUBLE) AS x, CAST((p * 5 + ln * 13) % 80 AS DOUBLE) AS y,
-  CAST((p * 11 + o) % 121 AS DOUBLE) AS ex, CAST((o * 3 + ln) % 81 AS DOUBLE) AS ey, CASE WHEN ln <> 6 THEN d END AS xg,
+  CAST((p * 11 + o) % 121 AS DOUBLE) AS ex, CAST((o * 3 + ln) % 81 AS DOUBLE) AS ey, CASE WHEN ln <> 6 THEN d / 7.0 + 0.0137 END AS xg,
   CASE WHEN rf = 'A' THEN 'Goal' ELSE 'Saved' END AS shot_outcome, CASE WHEN rf = 'R' THEN 'Incomplete' END AS pass_outcome,
   CASE WHEN rf = 'A' THEN 'Complete' ELSE 'Incomplete' END AS dribble_outcome, CASE WHEN rf = 'N' THEN 'Tackle' ELSE 'Aerial Lost' END AS duel_type,
   rf = 'A' AND s % 5 = 0 AS goal_assist, ls = 'O' AND s % 4 = 0 AS shot_assist, CASE WHEN s % 3 = 0 THEN concat(CAST(o AS VARCHAR(20)), '-', CAST(ln + 1 AS VARCHAR(20))) END AS assisted,
