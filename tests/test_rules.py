@@ -53,7 +53,7 @@ def test_asof_and_last_n_exclude_the_same_day(spark):
     got = {(r.side, r.minute): r.opp_v for r in ordered.asof_other(df, "m", "side", "minute", ["v"]).collect()}
     assert got == {(0, 5): 7.0, (0, 2): 0.0, (1, 3): 2.0, (1, 7): 1.0}
     df = spark.createDataFrame([(1, d, i, float(i)) for i, d in enumerate([1, 2, 3, 4, 5, 6, 7, 7])], "k int, dn int, id int, v double")
-    out = {r.id: list(r.last) for r in df.select("id", ordered.last_before(["k"], F.col("dn"), "id", "v", 5).alias("last")).collect()}
+    out = {r.id: list(r.last) for r in ordered.with_last_before(df, ["k"], "dn", "id", "v", 5, "last").collect()}
     assert out[7] == out[6] == [5.0, 4.0, 3.0, 2.0, 1.0] and out[0] == []
 
 

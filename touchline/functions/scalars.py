@@ -79,6 +79,52 @@ def position_group(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "unknown").when(c.contains("Goalkeeper"), "GK").when(c.contains("Back"), "DEF").when(c.contains("Midfield"), "MID").otherwise("FWD")
 
 
+#: The broad group of each position name of the event data.
+BROAD_POSITIONS = {
+    "GK": ["Goalkeeper"],
+    "CB": ["Center Back", "Left Center Back", "Right Center Back"],
+    "FB": ["Left Back", "Right Back", "Left Wing Back", "Right Wing Back"],
+    "DM": ["Center Defensive Midfield", "Left Defensive Midfield", "Right Defensive Midfield"],
+    "CM": ["Center Midfield", "Left Center Midfield", "Right Center Midfield"],
+    "AM": ["Center Attacking Midfield", "Left Attacking Midfield", "Right Attacking Midfield"],
+    "WM": ["Left Midfield", "Right Midfield"],
+    "W": ["Left Wing", "Right Wing"],
+    "ST": ["Center Forward", "Left Center Forward", "Right Center Forward", "Secondary Striker"],
+}
+#: The coarse group of position names; any other name is Other.
+COARSE_POSITIONS = {
+    "Goalkeeper": ["Goalkeeper"],
+    "Defender": ["Center Back", "Left Back", "Right Back", "Left Center Back", "Right Center Back", "Left Wing Back", "Right Wing Back"],
+    "Midfielder": [
+        "Center Midfield", "Defensive Midfield", "Left Center Midfield", "Right Center Midfield", "Left Midfield", "Right Midfield", "Attacking Midfield",
+    ],
+    "Attacker": ["Left Wing", "Right Wing", "Center Forward", "Left Center Forward", "Right Center Forward", "Secondary Striker"],
+}
+
+
+def _grouped(c: Column, groups: dict[str, list[str]]) -> Column:
+    out = F.lit(None).cast("string")
+    for group, names in groups.items():
+        out = F.when(c.isin(names), group).otherwise(out)
+    return out
+
+
+def broad_position(c: Column) -> Column:
+    """One of nine groups; null for any other name."""
+    return _grouped(c, BROAD_POSITIONS)
+
+
+def coarse_position(c: Column) -> Column:
+    """One of four groups, Other for any other name, null for null."""
+    return F.when(c.isNotNull(), F.coalesce(_grouped(c, COARSE_POSITIONS), F.lit("Other")))
+
+
+def place_name(c: Column) -> Column:
+    """A place's name without replacement characters, parentheses and runs of spaces; null gives an empty name."""
+    plain = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\ufffd", " "), r"\(.*?\)", " ")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
 def recency_bucket(days: Column) -> Column:
     return F.when(days < 0, "no_history").when(days <= 30, "0-30d").when(days <= 90, "31-90d").otherwise("91-180d")
 

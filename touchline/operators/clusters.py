@@ -49,6 +49,28 @@ def greedy_pairs(scores: list[tuple], highest: bool = True) -> dict:
     return out
 
 
+def style_labels(means: dict[int, list[float]], signatures: dict[str, list[float]], other: str = "Hybrid") -> dict[int, str]:
+    """Name of each component: the signature of the highest cosine to its mean, standardised over components; each name once, others ``other``.
+
+    Components and signatures are a few dozen; ties go to the later component and name.
+    """
+    import numpy as np
+
+    at = np.array([means[k] for k in means], dtype=float)
+    std = at.std(axis=0)
+    at = (at - at.mean(axis=0)) / np.where(std == 0, 1.0, std)
+    found = []
+    for row, k in zip(at, means):
+        for name, v in signatures.items():
+            size = float(np.linalg.norm(row) * np.linalg.norm(v))
+            found.append((float(np.dot(row, v)) / size if size > 0 else 0.0, k, name))
+    out: dict[int, str] = {}
+    for _, k, name in sorted(found, reverse=True):
+        if k not in out and name not in out.values():
+            out[k] = name
+    return {k: out.get(k, other) for k in means}
+
+
 def _dbscan(points, eps: float | None, least: int, neighbour: int, quantile: float):
     import numpy as np
 

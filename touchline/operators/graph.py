@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = "n_nodes long, n_edges long, betweenness_mean double, betweenness_max double, pagerank_max double, pagerank_std double, "
-FIELDS += "largest_component double, modularity double, n_communities long"
+FIELDS += "largest_component double, modularity double, n_communities long, "
+FIELDS += "hub_dominance double, weighted_density double, passes_per_player double, edges_per_player double, centralization double"
 
 
 def basics(edges: DataFrame, group: list[str]) -> DataFrame:
@@ -155,11 +156,14 @@ def _metrics(group: list[str]):
             return pd.DataFrame(columns=[*group, *(f.split()[0] for f in FIELDS.split(", "))])
         between, rank = betweenness(nodes, out), pagerank(nodes, out)
         parts, q = communities(nodes, und)
-        ranks = pd.Series(list(rank.values()))
+        ranks, n, m = pd.Series(list(rank.values())), len(nodes), sum(map(len, out.values()))
+        total = sum(sum(near.values()) for near in out.values())
         row = {c: pdf[c].iloc[0] for c in group} | {
             "n_nodes": len(nodes), "n_edges": sum(map(len, out.values())), "betweenness_mean": sum(between.values()) / len(nodes),
             "betweenness_max": max(between.values()), "pagerank_max": ranks.max(), "pagerank_std": ranks.std(ddof=0),
             "largest_component": max(map(len, components(nodes, und))) / len(nodes), "modularity": q, "n_communities": len(parts),
+            "hub_dominance": ranks.max() / ranks.mean(), "weighted_density": total / (n * (n - 1)), "passes_per_player": total / n, "edges_per_player": m / n,
+            "centralization": max(between.values()) - sum(between.values()) / n,
         }
         return pd.DataFrame([row])
 
@@ -170,3 +174,10 @@ def path_metrics(edges: DataFrame, group: list[str]) -> DataFrame:
     """(group, betweenness, PageRank, components, modularity) of each group's graph."""
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*group).schema)
     return edges.groupBy(*group).applyInPandas(_metrics(group), f"{keys}, {FIELDS}")
+
+
+def feature_matrix(edges: DataFrame, sides: DataFrame, group: list[str], label: str) -> DataFrame:
+    """A row for every one of ``sides`` (group, label): its graph's relational and path metrics, zeros where it has no edge."""
+    paths = path_metrics(edges, group).drop("n_nodes", "n_edges")
+    both = basics(edges, group).join(paths, group)
+    return sides.select(*group, label).join(both, group, "left").na.fill(0, [c for c in both.columns if c not in group])

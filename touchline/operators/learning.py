@@ -93,3 +93,16 @@ def collinear(rows: DataFrame, columns: list[str], priority: list[str] = (), lim
         if r > limit and a not in gone and b not in gone:
             gone.append(max(a, b, key=lambda c: rank[c]))
     return gone
+
+
+def collinear_in_order(rows: DataFrame, columns: list[str], limit: float = 0.9) -> list[str]:
+    """Columns to keep: in list order, each drops the later ones over ``limit`` in rank correlation with it."""
+    from pyspark.ml.stat import Correlation
+
+    data = VectorAssembler(inputCols=columns, outputCol="__v").transform(rows.na.fill(0, columns))
+    m = Correlation.corr(data, "__v", "spearman").first()[0].toArray()
+    kept: list[int] = []
+    for j in range(len(columns)):
+        if all(abs(m[i][j]) <= limit for i in kept):
+            kept.append(j)
+    return [columns[j] for j in kept]

@@ -27,14 +27,33 @@ def all_prior_days(keys: list[str], day: Column) -> Window:
     return Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
 
 
-def last_before(keys: list[str], day: Column, tie: str, value: str, n: int) -> Column:
-    """The values of the last ``n`` rows strictly before the day, latest first; ties inside a day by ``tie``.
+def with_last_before(rows: DataFrame, keys: list[str], day: str, tie: str, value: str, n: int, out: str) -> DataFrame:
+    """Rows with ``out``: the values of the last ``n`` rows strictly before the day, latest first; ties inside a day by ``tie``.
 
-    The frame holds at most what an entity has; an entity's rows are one task's.
+    A day holds at most ``n`` values and a frame at most ``n`` days, whatever an entity's number of rows.
     """
-    frame = all_prior_days(keys, day)
-    rows = F.collect_list(F.struct(day.alias("d"), F.col(tie).alias("t"), F.col(value).alias("v"))).over(frame)
-    return F.transform(F.slice(F.reverse(F.array_sort(rows)), 1, n), lambda r: r["v"])
+    latest = Window.partitionBy(*keys, day).orderBy(F.col(tie).desc())
+    days = rows.select(*keys, day, F.col(value).alias("__v"), F.row_number().over(latest).alias("__r")).where(F.col("__r") <= n)
+    days = days.groupBy(*keys, day).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__v"))), lambda r: r["__v"]).alias("__vs"))
+    frame = Window.partitionBy(*keys).orderBy(day).rowsBetween(-n, -1)
+    last = days.select(*keys, day, F.slice(F.flatten(F.reverse(F.collect_list("__vs").over(frame))), 1, n).alias(out))
+    return rows.join(last, [*keys, day], "left")
+
+
+def count_windows(rows: DataFrame, keys: list[str], at: str, minutes: str, started: str, n: int) -> DataFrame:
+    """Sums over the ``n`` appearances before each, 0 where there are none, and the run of starts that ends just before it.
+
+    ``at`` numbers an entity's appearances from 1; ``started`` is 1 or 0.
+    """
+    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-n, -1)
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    stop = F.max(F.when(F.col(started) == 0, F.col(at))).over(before)
+    return rows.select(
+        *keys, at, zero(F.sum(started).over(w)).alias(f"starts_last{n}"), F.count(F.when(F.col(minutes) >= 90, 1)).over(w).alias(f"full90_last{n}"),
+        zero(F.round(F.avg(minutes).over(w), 6)).alias(f"minutes_last{n}"), zero(F.max(minutes).over(w)).alias(f"minutes_max{n}"),
+        zero(F.round(F.avg(1.0 - F.col(started)).over(w), 6)).alias(f"sub_share{n}"), (F.col(at) - 1 - zero(stop)).alias("starts_in_a_row"),
+    )
 
 
 def mean_of(values: Column) -> Column:

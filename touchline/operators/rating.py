@@ -35,3 +35,11 @@ def elo(matches: DataFrame, league: str | None = None) -> DataFrame:
     """
     key = F.col(league) if league else F.lit(0)
     return matches.select("match_id", "day", "home_id", "away_id", "home_score", "away_score", key.alias("__league")).groupBy("__league").applyInPandas(_fold, SCHEMA)
+
+
+def with_elo(rows: DataFrame, ratings: DataFrame, match: str, team: str) -> DataFrame:
+    """Rows with elo_pre, opp_elo_pre and elo_diff of their (match, team); 0 where the match has no rating."""
+    side = lambda a, b: F.struct(F.col("match_id").alias("__m"), F.col(f"{a}_id").alias("__t"), F.col(f"{a}_elo").alias("elo_pre"), F.col(f"{b}_elo").alias("opp_elo_pre"))
+    sides = ratings.select(F.explode(F.array(side("home", "away"), side("away", "home"))).alias("s")).select("s.*")
+    out = rows.join(sides, (F.col(match) == F.col("__m")) & (F.col(team) == F.col("__t")), "left").drop("__m", "__t")
+    return out.withColumn("elo_diff", F.col("elo_pre") - F.col("opp_elo_pre")).na.fill(0, ["elo_pre", "opp_elo_pre", "elo_diff"])

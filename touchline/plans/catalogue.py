@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import dataframes, matches, modelling, ranked, texts
+from . import dataframes, endpoints, matches, modelling, ranked, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (texts, dataframes, matches, modelling):
+for _part in (texts, dataframes, matches, modelling, endpoints):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
 QUERIES |= ranked.QUERIES  # the SQL of texts, in other plans

@@ -72,8 +72,8 @@ def _form(n: int) -> str:
 
 @query("form_last_n", f"WITH {_O} SELECT o_orderkey, {_form(5)} AS form5, {_form(3)} AS form3 FROM o")
 def form_last_n(spark, d):
-    o, dn = _orders(spark, d), F.col("dn")
-    form = lambda n: F.round(ordered.mean_of(ordered.last_before(["o_custkey"], dn, "o_orderkey", "points", n)), 6).alias(f"form{n}")
+    o = ordered.with_last_before(_orders(spark, d).select("o_orderkey", "o_custkey", "dn", "points"), ["o_custkey"], "dn", "o_orderkey", "points", 5, "last")
+    form = lambda n: F.round(ordered.mean_of(F.slice("last", 1, n)), 6).alias(f"form{n}")
     return o.select("o_orderkey", form(5), form(3))
 
 
