@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import cross_validated
+from .evaluation import cross_validated, side_by_side
 
 CALIBRATION_FOLDS = 3
 
@@ -30,11 +30,13 @@ def gaussian_mixture(rows: DataFrame, vector: str, ks: range, seed: int, least_s
     data = rows.withColumn("__v", array_to_vector(F.col(vector)))
     n = data.count()
     d = data.select(F.size(vector)).first()[0]
-    fits = []
-    for k in ks:
+
+    def one(k: int) -> tuple:
         m = GaussianMixture(k=k, seed=seed, featuresCol="__v").fit(data)
         free = k - 1 + k * d + k * d * (d + 1) / 2
-        fits.append((free * math.log(n) - 2 * m.summary.logLikelihood, min(m.summary.clusterSizes) / n >= least_share, k, m))
+        return free * math.log(n) - 2 * m.summary.logLikelihood, min(m.summary.clusterSizes) / n >= least_share, k, m
+
+    fits = side_by_side(one, ks)
     best = min([f for f in fits if f[1]] or fits, key=lambda f: f[0])
     return best[3], [(f[2], f[0]) for f in fits]
 

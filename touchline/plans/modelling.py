@@ -58,13 +58,13 @@ def cluster_mixture(spark, d):
     """Bayes criterion of Gaussian mixtures over the number of components, on six principal components."""
     e = _vectors(spark, d).withColumn("x", array_to_vector("v"))
     reduced = learning.components(e, "x", 6).transform(e).select("vec_id", vector_to_array("pca").alias("p"))
-    _, bics = learning.gaussian_mixture(reduced, "p", range(4, 7), 42)
+    _, bics = learning.gaussian_mixture(reduced, "p", range(4, 11), 42)
     return spark.createDataFrame([(k, float(b)) for k, b in bics], "k int, bic double")
 
 
 @query("cluster_k_sweep")
 def cluster_k_sweep(spark, d):
-    swept = selection.k_sweep(_vectors(spark, d), "v", range(5, 10))
+    swept = selection.k_sweep(_vectors(spark, d), "v", range(5, 14))
     return spark.createDataFrame([(r["k"], r["silhouette"], r["inertia"], r["rank"]) for r in swept], "k int, silhouette double, inertia double, composite_rank int")
 
 
@@ -173,7 +173,7 @@ def shot_model(spark, d):
 
 @query("parameter_search")
 def parameter_search(spark, d):
-    _, tried = selection.random_search(_players(spark, d), "l_orderkey", 2, {"maxDepth": [2, 3, 4], "maxIter": [3, 5], "stepSize": [0.05, 0.1]}, 2, _boosted, _auc)
+    _, tried = selection.random_search(_players(spark, d), "l_orderkey", 3, {"maxDepth": [2, 3, 4], "maxIter": [3, 5], "stepSize": [0.05, 0.1]}, 12, _boosted, _auc)
     return spark.createDataFrame([(i, str(sorted(s.items())), float(x)) for i, (s, x) in enumerate(tried)], "draw int, setting string, auc double")
 
 
