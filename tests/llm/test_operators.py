@@ -130,6 +130,23 @@ def test_sharding(spark, docs, none):
         assert sorted(r.slot for r in old.values() if r.shard == s) == list(range(sizes[s]))
 
 
+def test_sharding_first_layouts_are_whole_regions():
+    assert [len(sharding.uniform_tree(n)) for n in (8, 16, 24)] == [1, 2, 3]
+    for n in (0, 7, 17, 23):
+        with pytest.raises(ValueError):
+            sharding.uniform_tree(n)
+
+
+def test_sharding_grows_many_times_into_the_new_shard_only(spark):
+    rows, tree = spark.range(800).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), sharding.uniform_tree(16)
+    for _ in range(7):
+        tree = sharding.grown(tree)
+    old = {r.id: r.shard for r in sharding.assign(rows, tree).collect()}
+    new = {r.id: r.shard for r in sharding.assign(rows, sharding.grown(tree)).collect()}
+    moved = {new[i] for i in old if old[i] != new[i]}
+    assert moved == {23}
+
+
 def test_sharding_moves_only_where_weights_change(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     tree = sharding.uniform_tree(16)

@@ -7,7 +7,8 @@ a changed weight moves keys only out of, or into, the subtrees where it changed.
 weight is the sum of its shards' weights.
 
 One more shard opens a region of its own: no other subtree's weight changes, so keys
-move only into the new shard. Law ``key``: the key and the shard count decide.
+move only into the new shard, however often a tree has grown. Law ``key``: the key and
+the shard count decide, the first layout being fixed.
 
 Slots are gapless without sorting a shard in one task: rows get a digest bucket, counts
 per (shard, bucket) give offsets (at most ``shards * BUCKETS`` rows, the only broadcast),
@@ -32,10 +33,15 @@ Tree = list[list[list[float]]]
 
 
 def uniform_tree(shards: int = 16) -> Tree:
-    """Weights by region, rack and shard, each shard 1; shards beyond full regions get a region each."""
+    """A first layout of whole regions, each shard of weight 1; an error for any count that isn't a multiple of a region's.
+
+    Layouts grow only by ``grown``: a tree of 24 made here is another layout than one of 16 grown eight times, and
+    keys would move between old shards on the way from one to the other.
+    """
     per = RACKS_PER_REGION * SHARDS_PER_RACK
-    full = [[[1.0] * SHARDS_PER_RACK for _ in range(RACKS_PER_REGION)] for _ in range(shards // per)]
-    return full + [[[1.0]] for _ in range(shards % per)]
+    if shards < per or shards % per:
+        raise ValueError(f"a first layout has whole regions of {per} shards; add single shards by grown()")
+    return [[[1.0] * SHARDS_PER_RACK for _ in range(RACKS_PER_REGION)] for _ in range(shards // per)]
 
 
 def grown(tree: Tree, weight: float = 1.0) -> Tree:
