@@ -128,11 +128,20 @@ def calendar_streak(spark, d):
 @query("orphan_checks", """SELECT 'lineitem.order' AS check_name, count(*) AS n_orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'orders.customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'customer.nation', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'lineitem.part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'lineitem.supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'supplier.nation', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'nation.region', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)
 UNION ALL SELECT 'labels.document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def orphan_checks(spark, d):
     t = lambda n: table(spark, d, n)
     out = joins.orphans(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey", "lineitem.order")
-    for c, k, p, pk, n in (("orders", "o_custkey", "customer", "c_custkey", "orders.customer"), ("customer", "c_nationkey", "nation", "n_nationkey", "customer.nation"), ("labels", "doc_id", "documents", "doc_id", "labels.document")):
+    for c, k, p, pk, n in (
+        ("orders", "o_custkey", "customer", "c_custkey", "orders.customer"), ("customer", "c_nationkey", "nation", "n_nationkey", "customer.nation"),
+        ("lineitem", "l_partkey", "part", "p_partkey", "lineitem.part"), ("lineitem", "l_suppkey", "supplier", "s_suppkey", "lineitem.supplier"),
+        ("supplier", "s_nationkey", "nation", "n_nationkey", "supplier.nation"), ("nation", "n_regionkey", "region", "r_regionkey", "nation.region"),
+        ("labels", "doc_id", "documents", "doc_id", "labels.document"),
+    ):
         out = out.unionByName(joins.orphans(t(c), k, t(p), pk, n))
     return out
 
