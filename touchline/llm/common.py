@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key that meets more than one in HOT_SHARE rows is hot: its rows are dealt to SALTS keys.
+HOT_SHARE, SALTS = 1000, 32
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -92,14 +94,29 @@ def parts_for(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def met(rows: DataFrame, key: str, by: list[str], keyed: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed`` where ``key`` equals ``__key`` (null equals null): one row a key, with the rows that it meets in ``__n``.
+
+    ``total`` is no less than the sum of ``__n``, so fewer than HOT_SHARE keys are hot and their list is broadcast. Rows
+    of a hot key are salted by a hash of ``by``, and ``keyed`` has a copy of that key for every salt.
+    """
+    hot = keyed.where(F.col("__n") * HOT_SHARE > F.lit(total)).select(F.col("__key").alias("__hot"), F.lit(SALTS).alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left")
+    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("__hot", "__salts")
+    copies = keyed.join(F.broadcast(hot), F.col("__key").eqNullSafe(F.col("__hot")), "left")
+    copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__hot", "__salts", "__n")
+    return dealt.join(copies, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__copy")), how).drop("__key", "__salt", "__copy")
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
     ``edges``: (u long, v long), self loops allowed. Returns (node long, root long) for
     every node that has an edge to another node; ``root`` is the smallest node reachable.
-    Minima are pre-aggregated before their shuffle and joined back, so a hub's
-    neighbours are never gathered in one task; each round is written to the shared
-    folder. The rounds needed grow with the logarithm of the longest chain; a graph
+    Minima are pre-aggregated before their shuffle and joined back with a hub's rows
+    salted (``met``), so its neighbours are never gathered in one task; each round is
+    written to the shared folder. The rounds needed grow with the logarithm of the longest chain; a graph
     that hasn't settled after ``max_rounds`` raises instead of returning a part.
     """
     e = stored(
@@ -109,15 +126,16 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     )
     last = None
     for _ in range(max_rounds):
+        total = 2 * e.count()
         # large star: the larger neighbours of u move to the smallest of u and its neighbours
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy(F.col("u").alias("__key")).agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("__n"))
+        big = met(both.where("v > u"), "u", ["v"], low, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         big = big.where("u <> v").distinct()
         # small star: the smaller neighbours of u, and u itself, move to the smallest of them
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
+        low = big.groupBy(F.col("u").alias("__key")).agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+        small = met(big, "u", ["v"], low, total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            low.select(F.col("__key").alias("u"), F.col("m").alias("v"))
         )
         e = stored(spark, small.where("u <> v").distinct(), "cc")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -135,8 +153,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, found: DataFrame, id_col:
     """
     found = stored(spark, found, "classes")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    first = found.groupBy("class").agg(F.min(row).alias("first"))
-    lost = found.join(first, "class").where(row != F.col("first")).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    first = found.groupBy(F.col("class").alias("__key")).agg(F.min(row).alias("first"), F.count("*").alias("__n"))
+    lost = met(found, "class", ["id", "th"], first, found.count()).where(row != F.col("first")).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
     equal = lambda x: docs[id_col].cast("long").eqNullSafe(x["__id"]) & (F.xxhash64(docs[text_col]) == x["__th"])
     again = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__th")
     kept = docs.join(lost, equal(lost), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, lean, shingle_hashes, stored
+from .common import bounded_batches, connected_components, lean, met, shingle_hashes, stored
 
 SEED = 42
 SHINGLE_WORDS = 5
@@ -98,12 +98,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) of ``pairs`` whose sets are similar enough."""
-    a, b = sets.select(F.col("s").alias("u"), F.col("all").alias("__a")), sets.select(F.col("s").alias("v"), F.col("all").alias("__b"))
+    """The (u, v) of ``pairs`` whose sets are similar enough. A set of very many pairs is dealt out with them (``met``).
+
+    ``pairs`` is a stored table: it is read once for each side's counts.
+    """
+    side = lambda x: pairs.groupBy(F.col(x).alias("__key")).agg(F.count("*").alias("__n")).join(sets, F.col("__key") == F.col("s"))
+    a, b = side("u").select("__key", "__n", F.col("all").alias("__a")), side("v").select("__key", "__n", F.col("all").alias("__b"))
+    total = pairs.count()
     both = "size(array_intersect(__a, __b))"
     # both / (a + b - both) >= p / q
     on = f"{both} * {sum(SIMILAR)} >= {SIMILAR[0]} * (size(__a) + size(__b))"
-    return pairs.join(a, "u").join(b, "v").where(on).select("u", "v")
+    return met(met(pairs, "u", ["v"], a, total), "v", ["u"], b, total).where(on).select("u", "v")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, bi
     bounded_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     rows = stored(spark, slim.mapInArrow(lean(_sketches(bits)), "id long, th long, s long, n long, fp long, keys array<long>"), "near")
-    own = rows.groupBy("s").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    own = rows.groupBy("s").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
     own = stored(spark, own, "near")
     # by signatures: one set of each fingerprint beside one of the next, and of the same fingerprint each beside the first
     first = own.groupBy("fp").agg(F.min("s").alias("s"), F.min("th").alias("th"))
@@ -147,8 +152,10 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, bi
     sharing = members.withColumn("before", F.lag("s").over(at)).withColumn("after", F.lead("s").over(at)).where("before IS NOT NULL OR after IS NOT NULL")
     sharing = stored(spark, sharing.select("s", "th", "n", "key"), "near")
     wanted = sharing.select("s", "th").unionByName(signed.select("s", "th")).unionByName(signed.select(F.col("s0").alias("s"), F.col("th0").alias("th")))
-    wanted = wanted.groupBy("th").agg(F.first("s").alias("s"))
-    texts = slim.select("th", "text").join(wanted, "th").dropDuplicates(["s"]).select("s", "text")
+    wanted = wanted.groupBy("th").agg(F.first("s").alias("s")).join(own.select("s", "rows"), "s")
+    # a text has no more rows than its set; copies meet the one that is wanted where they are, and collapse before the shuffle
+    wanted = wanted.select(F.col("th").alias("__key"), F.col("rows").alias("__n"), "s")
+    texts = met(slim, "th", ["id"], wanted, rows.count()).select("s", "text").dropDuplicates(["s"])
     sets = stored(spark, texts.mapInArrow(lean(_sets), "s long, all array<long>"), "near")
     # shingles that no other candidate has can't be shared: m is what is left, and bounds every overlap
     alone = sets.select("s", F.explode("all").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s")).where("c = 1")
@@ -162,12 +169,15 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, bi
     sharing = stored(spark, sharing, "near")
     pair = lambda x, y: [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
     chain = sharing.select("s", F.explode("ahead").alias("t")).where("t <> s").select(*pair("t", "s")).unionByName(signed.select(*pair("s", "s0"))).distinct()
+    chain = stored(spark, chain, "near")
     linked = connected_components(spark, similar(chain, sets))
     named = sharing.join(linked, sharing["s"] == linked["node"], "left").select("s", "n", "key", F.coalesce("root", "s").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    named = stored(spark, named.join(mixed, "key").groupBy("s").agg(F.first("n").alias("n"), F.first("c").alias("c")), "near")
+    mixed = named.groupBy(F.col("key").alias("__key")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("__n")).where("c0 < c1").drop("c0", "c1")
+    named = stored(spark, met(named, "key", ["s"], mixed, sharing.count()).groupBy("s").agg(F.first("n").alias("n"), F.first("c").alias("c")), "near")
     across = stored(spark, prefixes(sets.join(named, "s")).join(chain, ["u", "v"], "left_anti"), "near")
     more = stored(spark, similar(across, sets), "near")
     if not more.isEmpty():
         linked = connected_components(spark, linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    return rows.join(linked, rows["s"] == linked["node"], "left").select("id", "th", F.coalesce("root", "s").alias("class"))
+    of = own.select("s", "rows").join(linked, own["s"] == linked["node"], "left")
+    of = of.select(F.col("s").alias("__key"), F.col("rows").alias("__n"), F.coalesce("root", "s").alias("class"))
+    return met(rows, "s", ["id", "th"], of, rows.count()).select("id", "th", "class")

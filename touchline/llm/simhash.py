@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import bounded_batches, connected_components, lean, one_of_each, parts_for, shingle_hashes, stored
+from .common import bounded_batches, connected_components, lean, met, one_of_each, parts_for, shingle_hashes, stored
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -145,13 +145,14 @@ def components(
     """(id long, fp long, class_id long) for every row; class_id: smallest id reachable over links, itself included."""
     bounded_batches(spark)
     rows = stored(spark, fingerprints(docs, id_col, text_col, shingle), "simhash")
-    own = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    own = rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("__n"))
     roots = grouped(spark, own, max_bits)
-    named = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "first", "__n", F.coalesce("root", "fp").alias("root"))
     named = stored(spark, named, "simhash")
-    least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    by_print = named.join(least, "root").select("fp", "class_id")
-    return rows.join(by_print, "fp").select("id", "fp", "class_id")
+    # equal fingerprints and large classes may hold a third of all rows: both joins deal such keys out
+    least = named.groupBy(F.col("root").alias("__key")).agg(F.min("first").alias("class_id"), F.count("*").alias("__n"))
+    by_print = met(named.withColumnRenamed("__n", "n"), "root", ["fp"], least, named.count()).select(F.col("fp").alias("__key"), F.col("n").alias("__n"), "class_id")
+    return met(rows, "fp", ["id"], by_print, rows.count()).select("id", "fp", "class_id")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
