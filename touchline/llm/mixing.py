@@ -119,15 +119,18 @@ def taken(
     )
     plan = stored(spark, plan, "mixing")
     names = {c: F.col(c).alias(f"__{c}") for c in ("source", "size", "bucket")}
+    same = lambda *cols: [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols]
     per = slim.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*names.values(), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    per = per.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # the plan meets the buckets, BUCKETS rows of a length at most; rows meet their bucket only
+    plan = plan.select(names["source"], names["size"], "source_size", "target", "passes", "picks")
+    per = per.join(plan, same("source", "size")).select(
+        *[F.col(c).alias(f"__{c}") for c in ("source", "size", "bucket")], "offset", "source_size", "target", "passes", "picks"
+    )
     inside = Window.partitionBy("source", "size", "bucket").orderBy("order", "id", "th")
     ranked = slim.withColumn("at", F.row_number().over(inside))
-    same = lambda *cols: [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols]
-    ranked = ranked.join(per, same("source", "size", "bucket")).select("id", "th", "source", "size", (F.col("offset") + F.col("at")).alias("rank"))
-    plan = plan.select(names["source"], names["size"], "source_size", "target", "passes", "picks")
-    out = ranked.join(plan, same("source", "size"))
+    out = ranked.join(per, same("source", "size", "bucket")).withColumn("rank", F.col("offset") + F.col("at"))
     out = out.withColumn("copies", F.col("passes") + (F.col("rank") <= F.col("picks")).cast("int"))
     return out.select("id", "th", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
