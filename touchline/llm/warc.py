@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, parts_for, shared_path, stored
+from .common import bounded_batches, lean, met, parts_for, shared_path, stored
 
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_FRAME = b"\x28\xb5\x2f\xfd"
@@ -223,9 +223,10 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.col(id_col).cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.cast("binary").alias("payload"),
         F.sha2(html, 256).alias("digest"), F.col(id_col).alias("__id"),
     )
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("__digest"))
-    firsts = firsts.agg(F.min("__id").alias("__first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(firsts, F.col("digest") == F.col("__digest"), "left")
+    # short payloads have no first, but are listed: equal ones are many rows of one digest, too, and are dealt out
+    long = F.when(F.octet_length("payload") >= least, F.col("__id"))
+    firsts = rows.groupBy(F.col("digest").alias("__key")).agg(F.min(long).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    joined = met(rows, "digest", ["page_id", "url"], firsts, pages.count(), "left")
     revisit = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     return joined.select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"),
