@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import met, stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -72,8 +72,8 @@ def host_rates(measured: DataFrame) -> DataFrame:
 def judged(spark: SparkSession, docs: DataFrame, max_rate: float = MAX_HOST_RATE, **cols) -> DataFrame:
     """Measures of every row with host_rate and kept."""
     measured = stored(spark, measures(docs, **cols), "quality")
-    rates = host_rates(measured).select(F.col("host").alias("__host"), F.col("shrunk_rate").alias("host_rate"))
-    joined = measured.join(rates, measured["host"].eqNullSafe(rates["__host"]), "left").drop("__host")
+    rates = host_rates(measured).select(F.col("host").alias("__key"), F.col("n_docs").alias("__n"), F.col("shrunk_rate").alias("host_rate"))
+    joined = met(measured, "host", ["id", "n_words", "word_chars"], rates, measured.count(), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
 
 
