@@ -94,13 +94,24 @@ def parts_for(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def met(rows: DataFrame, key: str, by: list[str], keyed: DataFrame, total: int, how: str = "inner") -> DataFrame:
+def hot_keys(keyed: DataFrame, total: int) -> DataFrame | None:
+    """The keys of ``keyed`` (a stored table) that meet more than one in HOT_SHARE of ``total`` rows; None if there are none."""
+    hot = keyed.where(F.col("__n") * HOT_SHARE > F.lit(total)).select(F.col("__key").alias("__hot"), F.lit(SALTS).alias("__salts"))
+    return None if hot.isEmpty() else hot
+
+
+def met(rows: DataFrame, key: str, by: list[str], keyed: DataFrame, total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``keyed`` where ``key`` equals ``__key`` (null equals null): one row a key, with the rows that it meets in ``__n``.
 
     ``total`` is no less than the sum of ``__n``, so fewer than HOT_SHARE keys are hot and their list is broadcast. Rows
-    of a hot key are salted by a hash of ``by``, and ``keyed`` has a copy of that key for every salt.
+    of a hot key are salted by a hash of ``by``, and ``keyed`` has a copy of that key for every salt. ``keyed`` is written
+    once, or where it is wide its stored ``counts`` (__key, __n) are read; without a hot key it is a plain join.
     """
-    hot = keyed.where(F.col("__n") * HOT_SHARE > F.lit(total)).select(F.col("__key").alias("__hot"), F.lit(SALTS).alias("__salts"))
+    if counts is None:
+        counts = keyed = stored(rows.sparkSession, keyed, "met")
+    hot = hot_keys(counts, total)
+    if hot is None:
+        return rows.join(keyed.drop("__n"), F.col(key).eqNullSafe(F.col("__key")), how).drop("__key")
     salts = F.coalesce("__salts", F.lit(1))
     dealt = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left")
     dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("__hot", "__salts")

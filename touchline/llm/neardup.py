@@ -102,13 +102,14 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``pairs`` is a stored table: it is read once for each side's counts.
     """
-    side = lambda x: pairs.groupBy(F.col(x).alias("__key")).agg(F.count("*").alias("__n")).join(sets, F.col("__key") == F.col("s"))
-    a, b = side("u").select("__key", "__n", F.col("all").alias("__a")), side("v").select("__key", "__n", F.col("all").alias("__b"))
-    total = pairs.count()
+    counted = lambda x: stored(pairs.sparkSession, pairs.groupBy(F.col(x).alias("__key")).agg(F.count("*").alias("__n")), "near")
+    of_u, of_v, total = counted("u"), counted("v"), pairs.count()
+    side = lambda counts, name: counts.join(sets, F.col("__key") == F.col("s")).select("__key", "__n", F.col("all").alias(name))
     both = "size(array_intersect(__a, __b))"
     # both / (a + b - both) >= p / q
     on = f"{both} * {sum(SIMILAR)} >= {SIMILAR[0]} * (size(__a) + size(__b))"
-    return met(met(pairs, "u", ["v"], a, total), "v", ["u"], b, total).where(on).select("u", "v")
+    first = met(pairs, "u", ["v"], side(of_u, "__a"), total, counts=of_u)
+    return met(first, "v", ["u"], side(of_v, "__b"), total, counts=of_v).where(on).select("u", "v")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
