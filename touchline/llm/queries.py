@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, linededup, mixing, pieces, quality, sharding, simhash, substrings, toxicity, warc
+from . import centroids, exactdedup, linededup, mixing, pieces, quality, sharding, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_linededup": linededup.op10_linededup,
+    "op12_centroids": centroids.op12_centroids,
 }
 
 ORACLE: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op5_quality": quality.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_linededup": linededup.ORACLE,
+    "op12_centroids": centroids.oracle(),
 }
