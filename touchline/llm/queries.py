@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, exactdedup, linededup, mixing, pieces, quality, sharding, simhash, substrings, toxicity, warc
+from . import centroids, collocations, exactdedup, linededup, mixing, pieces, quality, sharding, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_linededup": linededup.op10_linededup,
     "op12_centroids": centroids.op12_centroids,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLE: dict[str, str] = {
     "op9_warc": warc.ORACLE,
     "op10_linededup": linededup.ORACLE,
     "op12_centroids": centroids.oracle(),
+    "op13_collocations": collocations.ORACLE,
 }
