@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, collocations, exactdedup, linededup, mixing, pieces, quality, sharding, simhash, substrings, toxicity, warc
+from . import centroids, collocations, exactdedup, linededup, mainpage, mixing, pieces, quality, sharding, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_linededup": linededup.op10_linededup,
+    "op11_mainpage": mainpage.op11_mainpage,
     "op12_centroids": centroids.op12_centroids,
     "op13_collocations": collocations.op13_collocations,
 }
