@@ -106,6 +106,29 @@ def asof_other(rows: DataFrame, group: str, side: str, order: str, values: list[
     return both.select(group, side, order, *values, *[F.coalesce(F.col("__last")[v], F.lit(default)).alias(f"opp_{v}") for v in values])
 
 
+def latest_before(rows: DataFrame, events: DataFrame, key: str, at: str, value: str, out: str, buckets: int = 64) -> DataFrame:
+    """``rows`` with ``out``: the ``value`` of the latest event of the same key strictly before ``at`` (whole numbers; null if none).
+
+    Events of one key and number must agree. A key's events are cut into ``buckets`` spans of ``at``: a bucket's last one is what
+    later buckets see of it, so a key that holds most rows is that many tasks.
+    """
+    span = events.agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))  # one row
+    bucket = F.expr(f"CAST(least({buckets - 1}, greatest(0, ({at} - __lo) div greatest((__hi - __lo) div {buckets} + 1, 1))) AS INT)")
+    dealt = lambda df: df.join(F.broadcast(span), how="left").withColumn("__b", F.coalesce(bucket, F.lit(0))).drop("__lo", "__hi")
+    e = dealt(events.select(key, at, F.struct(F.col(value).alias("v")).alias("__v")))
+    last = e.groupBy(key, "__b").agg(F.max_by("__v", at).alias("__last"))
+    # of each bucket of a key that rows are in: the last event of the buckets before it
+    r = dealt(rows)
+    wanted = r.select(key, "__b").distinct().join(last, [key, "__b"], "full")
+    ahead = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = wanted.withColumn("__ahead", F.last("__last", ignorenulls=True).over(ahead)).select(F.col(key).alias("__k"), F.col("__b").alias("__kb"), "__ahead")
+    both = r.withColumn("__v", F.lit(None).cast(e.schema["__v"].dataType)).withColumn("__own", F.lit(0)).unionByName(e.withColumn("__own", F.lit(1)), allowMissingColumns=True)
+    inside = Window.partitionBy(key, "__b").orderBy(at, "__own").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("__in", F.last("__v", ignorenulls=True).over(inside)).where("__own = 0")
+    seen = seen.join(wanted, F.expr(f"{key} <=> __k AND __b = __kb"), "left")
+    return seen.withColumn(out, F.coalesce("__in", "__ahead")["v"]).select(*rows.columns, out)
+
+
 def average_rank(value: str | Column, keys: list[str] = (), descending: bool = False) -> Column:
     """Rank with ties at their mean."""
     c = F.col(value) if isinstance(value, str) else value

@@ -253,34 +253,35 @@ def token_subset_join(spark, d):
     return joins.token_subset(left, "a", "ln", right.unionByName(more), "b", "rn")
 
 
-@query("name_containment_join", """WITH n AS (SELECT n_nationkey AS a, trim(regexp_replace(regexp_replace(lower(n_name || ' ' || chr(CAST(97 + n_nationkey AS INT))), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS an FROM nation),
-r AS (SELECT n_nationkey AS b, trim(regexp_replace(regexp_replace(lower('old ' || n_name || ' ' || chr(CAST(97 + n_nationkey AS INT)) || r_name), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS bn
-  FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 100 + r_regionkey, lower(substr(r_name, 1, 1)) FROM region)
+def _word(seed: str) -> str:
+    """A word of seven letters for each customer, the same text in both engines."""
+    return f"translate(substr(md5('{seed}' || CAST(c_custkey AS STRING)), 1, 7), '0123456789abcdef', 'bcdfghjklmnpraei')"
+
+
+_LONG = f"'old ' || {_word('p')} || ' ' || {_word('q')} || ' ' || {_word('r')}"
+
+
+@query("name_containment_join", f"""WITH n AS (SELECT c_custkey AS a, {_word('p')} || ' ' || {_word('q')} AS an FROM customer),
+r AS (SELECT c_custkey AS b, {_LONG} AS bn FROM customer WHERE c_acctbal > 0 UNION ALL SELECT -1 - c_custkey, substr({_word('q')}, 2, 5) FROM customer WHERE c_acctbal <= 0)
 SELECT a, b FROM n JOIN r ON contains(an, bn) OR contains(bn, an)""")
 def name_containment_join(spark, d):
-    letter = F.expr("chr(97 + n_nationkey)")
-    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name", F.col("n_nationkey").alias("a"), S.norm_name(F.concat_ws(" ", "n_name", letter)).alias("an"))
-    r = table(spark, d, "region")
-    long = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("b"), S.norm_name(F.concat(F.lit("old "), "n_name", F.lit(" "), letter, "r_name")).alias("bn"))
-    short = r.select((100 + F.col("r_regionkey")).alias("b"), S.norm_name(F.substring("r_name", 1, 1)).alias("bn"))
-    return joins.contains_either_way(n.select("a", "an"), "an", long.unionByName(short), "bn").select("a", "b")
+    c = table(spark, d, "customer")
+    n = c.select(F.col("c_custkey").alias("a"), F.expr(f"{_word('p')} || ' ' || {_word('q')}").alias("an"))
+    long = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("b"), F.expr(_LONG).alias("bn"))
+    short = c.where("c_acctbal <= 0").select((-1 - F.col("c_custkey")).alias("b"), F.expr(f"substr({_word('q')}, 2, 5)").alias("bn"))
+    return joins.contains_either_way(n, "an", long.unionByName(short), "bn").select("a", "b")
 
 
-@query("fuzzy_block_join", """WITH l AS (SELECT n_nationkey AS a, n_name AS an, substr(string_split(n_name, ' ')[-1], 1, 1) AS k FROM nation), r AS (SELECT n_nationkey AS b, left(n_name, -1) AS bn FROM nation),
-p AS (SELECT a, b, (1 - levenshtein(an, bn)::DOUBLE / greatest(length(an), length(bn))) * 100 AS score FROM l JOIN r ON k = substr(string_split(bn, ' ')[-1], 1, 1)),
-o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM p WHERE score >= 60) SELECT a, b, round(score, 4) AS score FROM o WHERE n = 1""")
-def fuzzy_block_join(spark, d):
-    n = table(spark, d, "nation")
-    cut = F.expr("substr(n_name, 1, length(n_name) - 1)")
-    out = joins.fuzzy_block(n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("an")), "a", "an", n.select(F.col("n_nationkey").alias("b"), cut.alias("bn")), "b", "bn", 60.0)
-    return out.select("a", "b", F.round("score", 4).alias("score"))
+_LEFT, _RIGHT = f"{_word('p')} || ' ' || {_word('q')}", f"{_word('p')} || ' ' || substr({_word('q')}, 1, 5) || 'z'"
 
 
-@query("resolve_cascade")
-def resolve_cascade(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("player_id"), (F.col("n_nationkey") + 100).alias("source_id"), S.norm_name(F.col("n_name")).alias("norm_name"))
-    people = n.select((F.col("player_id") + 1000).alias("person_id"), F.when(F.col("player_id") % 3 == 0, F.col("source_id")).alias("source_id"), F.when(F.col("player_id") % 3 == 1, F.col("norm_name")).otherwise(F.substring("norm_name", 1, 6)).alias("name"))
-    return joins.resolve(people, n)
+@query("fuzzy_block_join", f"""WITH l AS (SELECT c_custkey AS a, {_LEFT} AS an FROM customer), r AS (SELECT c_custkey AS b, {_RIGHT} AS bn FROM customer),
+p AS (SELECT a, b, (1 - levenshtein(an, bn)::DOUBLE / greatest(length(an), length(bn))) * 100 AS score FROM l JOIN r ON substr(string_split(an, ' ')[-1], 1, 1) = substr(string_split(bn, ' ')[-1], 1, 1)),
+o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM p WHERE score >= 60) SELECT a, b, round(score, 4) AS score FROM o WHERE n = 1""")
+def fuzzy_block_join(spark, d):
+    c = table(spark, d, "customer")
+    left, right = c.select(F.col("c_custkey").alias("a"), F.expr(_LEFT).alias("an")), c.select(F.col("c_custkey").alias("b"), F.expr(_RIGHT).alias("bn"))
+    return joins.fuzzy_block(left, "a", "an", right, "b", "bn", 60.0).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query("date_multi_parse", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders")
