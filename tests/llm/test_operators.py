@@ -94,6 +94,28 @@ def test_substrings(spark, docs, none, keep, hot):
     assert substrings.removed(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_substrings_tells_texts_of_equal_32_bit_hashes_apart(spark, keep):
+    """Two texts of one id, or of none, that ``F.hash`` takes for one: what a third document repeats of the first is nothing of the second's."""
+    made = spark.range(300_000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512), F.lit(" end")).alias("t"))
+    pair = made.groupBy(F.hash("t").alias("h")).agg(F.sort_array(F.collect_list("t")).alias("ts")).where("size(ts) > 1").orderBy("h").first()
+    a, b = pair.ts[:2]
+    for same in (None, 7):
+        rows = [(same, a, "x"), (same, b, "x"), (9, "as told: " + a, "x")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = substrings.removed(spark, df, keep=keep).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert as_set(got) == collections.Counter(brute_substrings(rows, keep)) and got.where(f"id <=> {same or 'NULL'} AND n_removed = 0").count() >= 1
+
+
+def test_substrings_hot_passage_is_dealt_out(spark):
+    """A passage in most documents, with different surroundings, over the share that makes a key hot."""
+    passage = " ".join(f"word{i}" for i in range(90))
+    rows = [(i, f"start {i * 7919} {passage} end {i}", "x") for i in range(300)] + [(1000 + i, hashlib.sha512(str(i).encode()).hexdigest() * 3, "x") for i in range(50)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = substrings.removed(spark, df).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert as_set(got) == collections.Counter(brute_substrings(rows, "none"))
+
+
 def test_previous_factors_against_all_pairs():
     random.seed(4)
     for _ in range(60):

@@ -20,7 +20,8 @@ blocks, beside the 64-bit anchor, and of 128 bits for windows of hot anchors. Bl
 written once; texts are shuffled compressed.
 
 Edge cases: null texts are empty; shorter texts than ``span`` stay whole; rows equal in
-id and text are copies of each other; a null id is an id like any other; very long texts
+id and text are copies of each other; a null id is an id like any other, and texts of one id
+are told apart by 128 bits of id and text; very long texts
 are cut into overlapping segments for hashing only; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, parts_for, stored
+from .common import bounded_batches, lean, met, parts_for, stored
 
 SPAN, GRAM = 200, 32
 HOT_BLOCKS = 4000
@@ -75,11 +76,11 @@ def anchors(data: bytes, span: int = SPAN):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _blocks(span: int):
+def _blocks(span: int, ordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
-        names = ["id", "th", "a", "size", "cover", "n", "anchor", "block"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["id", "row", "a", "size", "cover", "n", "anchor", "block"]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             cols: list[list] = [[] for _ in names]
 
@@ -89,7 +90,7 @@ def _blocks(span: int):
                     c.clear()
                 return out
 
-            for i, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for i, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if len(data) < span:
                     continue
@@ -103,7 +104,7 @@ def _blocks(span: int):
                     if row:
                         for c, x in zip(cols, row):
                             c.append(x)
-                    row, prior = [i, th, s, e + span - s, e + span - s, 1, h, d], (d, h)
+                    row, prior = [i if ordered else None, own, s, e + span - s, e + span - s, 1, h, d], (d, h)
                 for c, x in zip(cols, row):
                     c.append(x)
                 if len(cols[0]) > 20_000:
@@ -120,7 +121,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = zstandard.ZstdCompressor(level=1)
     for b in batches:
         z = [coder.compress(t.as_buffer() if t.is_valid else b"") for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["id", "th", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["id", "row", "z"])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +129,13 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     coder = zstandard.ZstdDecompressor()
-    names = ["anchor", "block", "n", "id", "th", "a", "hot", "data"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    names = ["anchor", "block", "n", "id", "row", "a", "hot", "data"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
     for b in batches:
         rows = []
-        for i, th, z, want in zip(*(b.column(k).to_pylist() for k in range(4))):
+        for i, own, z, want in zip(*(b.column(k).to_pylist() for k in range(4))):
             data = coder.decompress(z)
-            rows += [(w["anchor"], w["block"], w["n"], i, th, w["a"], w["hot"], data[w["a"] : w["a"] + w["size"]]) for w in want]
+            rows += [(w["anchor"], w["block"], w["n"], i, own, w["a"], w["hot"], data[w["a"] : w["a"] + w["size"]]) for w in want]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
 
@@ -287,11 +288,11 @@ def _ordered(span: int, keep: str):
         # rows come sorted by anchor, and the blocks of one anchor are never parted
         last = None
         for b in batches:
-            for anchor, block, i, th, a, data in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for anchor, block, i, own, a, data in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if size > ORDER_BYTES and anchor != last:
                     yield resolved()
                     held, size = [], 0
-                held.append((anchor, block, i, th, a, data))
+                held.append((anchor, block, i, own, a, data))
                 size, last = size + len(data), anchor
         if held:
             yield resolved()
@@ -303,14 +304,14 @@ def _windows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["anchor", "block", "id", "th", "a", "s", "w1", "w2"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["anchor", "block", "id", "row", "a", "s", "w1", "w2"]
         for b in batches:
             rows = []
-            for anchor, block, i, th, a, data in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for anchor, block, i, own, a, data in zip(*(b.column(k).to_pylist() for k in range(6))):
                 for s in range(len(data) - span + 1):
                     d = xxhash.xxh3_128_digest(data[s : s + span])
-                    rows.append((anchor, block, i, th, a, s, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                    rows.append((anchor, block, i, own, a, s, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
     return run
@@ -352,34 +353,37 @@ def removed(
         raise ValueError("keep is 'none' or 'first', span at least 64")
     bounded_batches(spark)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))
-    block_schema = "id long, th int, a int, size int, cover int, n long, anchor long, block binary"
-    blocks = stored(spark, rows.mapInArrow(lean(_blocks(span)), block_schema), "substrings")
-    packed = rows.mapInArrow(lean(_packed), "id long, th int, z binary")
+    whole = F.coalesce(text, F.lit(""))
+    # 128 bits of id and text tell rows apart; rows equal in both are told apart by nothing and have the same result
+    name = F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), F.lit("\n"), whole))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(name).alias("row"), text.alias("text"))
+    block_schema = "id long, row binary, a int, size int, cover int, n long, anchor long, block binary"
+    blocks = stored(spark, rows.mapInArrow(lean(_blocks(span, keep == "first")), block_schema), "substrings")
+    packed = rows.mapInArrow(lean(_packed), "id long, row binary, z binary")
     # one row per different block: occurrences and the first place
-    different = blocks.groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "a")).alias("at"), F.max("size").alias("size"))
+    different = blocks.groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.min(F.struct("id", "row", "a")).alias("at"), F.max("size").alias("size"))
     shared = different.groupBy(F.col("anchor").alias("__anchor")).agg(F.count("*").alias("blocks"), F.sum("n").alias("places")).where("places > 1")
     known = different.join(shared, F.col("anchor") == F.col("__anchor")).drop("__anchor", "places")
     known = stored(spark, known, "substrings")
     contested = known.where("blocks > 1")
     parts = max(parts_for(spark), int((contested.agg(F.sum("size")).first()[0] or 0) // ORDER_BYTES) + 1)
     wanted = contested.select(
-        F.col("at.id").alias("__id"), F.col("at.th").alias("__th"),
+        F.col("at.row").alias("__row"),
         F.struct("anchor", "block", "n", F.col("at.a").alias("a"), "size", (F.col("blocks") > hot_blocks).alias("hot")).alias("want"),
-    ).groupBy("__id", "__th").agg(F.collect_list("want").alias("want"))
-    own = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    ).groupBy("__row").agg(F.collect_list("want").alias("want"))
+    own = F.col("row") == F.col("__row")
     # rows equal in id and text would fetch the same blocks twice; equal blocks would then match themselves
-    fetched = packed.join(wanted, own).select("id", "th", "z", "want").mapInArrow(
-        lean(_fetched), "anchor long, block binary, n long, id long, th int, a int, hot boolean, data binary"
+    fetched = packed.join(wanted, own).select("id", "row", "z", "want").mapInArrow(
+        lean(_fetched), "anchor long, block binary, n long, id long, row binary, a int, hot boolean, data binary"
     )
     fetched = stored(spark, fetched, "substrings")
-    single = ["anchor", "block", "id", "th", "a", "data"]
+    single = ["anchor", "block", "id", "row", "a", "data"]
     cold = fetched.where("NOT hot").select(*single).repartition(parts, "anchor").sortWithinPartitions("anchor", "block").dropDuplicates(["anchor", "block"])
     cold = cold.sortWithinPartitions("anchor").mapInArrow(lean(_ordered(span, keep)), "anchor long, block binary, runs array<struct<s: int, e: int>>")
     windows = fetched.where("hot").select(*single).dropDuplicates(["anchor", "block"]).mapInArrow(
-        lean(_windows(span)), "anchor long, block binary, id long, th int, a int, s int, w1 long, w2 long"
+        lean(_windows(span)), "anchor long, block binary, id long, row binary, a int, s int, w1 long, w2 long"
     )
-    place = F.struct("id", "th", "a", "s")
+    place = F.struct("id", "row", "a", "s")
     equal = windows.groupBy(F.col("w1").alias("__w1"), F.col("w2").alias("__w2")).agg(F.count("*").alias("c"), F.min(place).alias("__first")).where("c > 1")
     hot = windows.join(equal, (F.col("w1") == F.col("__w1")) & (F.col("w2") == F.col("__w2")))
     if keep == "first":
@@ -387,12 +391,14 @@ def removed(
     hot = hot.groupBy("anchor", "block").agg(F.collect_list(F.struct(F.col("s"), F.col("s").alias("e"))).alias("runs"))
     runs = cold.unionByName(hot).select(F.col("anchor").alias("__anchor"), F.col("block").alias("__block"), "runs")
     marked = known.join(runs, (F.col("anchor") == F.col("__anchor")) & (F.col("block") == F.col("__block")), "left").where("n > 1 OR runs IS NOT NULL")
-    marked = stored(spark, marked.select(F.col("anchor").alias("__anchor"), F.col("block").alias("__block"), (F.col("n") > 1).alias("whole"), "at", "runs"), "substrings")
-    met = blocks.join(marked, (F.col("anchor") == F.col("__anchor")) & (F.col("block") == F.col("__block")))
+    # equal blocks have equal anchors, so a block's digest is the key; a passage of a third of all documents is dealt out
+    marked = stored(spark, marked.select(F.col("block").alias("__key"), F.col("n").alias("__n"), (F.col("n") > 1).alias("whole"), "at", "runs"), "substrings")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    found = met(blocks, "block", ["row", "a"], marked, total, counts=marked)
     whole = F.col("whole")
     begin, behind = F.col("a"), F.col("a") + F.col("cover")
     if keep == "first":
-        first = F.col("id").eqNullSafe(F.col("at.id")) & (F.col("th") == F.col("at.th")) & (F.col("a") == F.col("at.a"))
+        first = (F.col("row") == F.col("at.row")) & (F.col("a") == F.col("at.a"))
         # inside a period only the first block of the row is the first copy
         begin = F.when(first, F.col("a") + F.expr(f"CAST((cover - size) / greatest(n - 1, 1) AS INT) + size - {span}")).otherwise(begin)
         begin = F.when(first & (F.col("n") > 1), F.greatest(begin - (F.col("size") - span) , F.col("a") + 1)).otherwise(begin)
@@ -402,9 +408,8 @@ def removed(
     none = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)")
     # a whole block needs no runs, unless its first copy stays
     both = F.coalesce(spans, part, none) if keep == "none" else F.concat(F.coalesce(spans, none), F.when(first | ~F.col("whole"), F.coalesce(part, none)).otherwise(none))
-    met = met.select(F.col("id").alias("__id"), F.col("th").alias("__th"), both.alias("spans")).groupBy("__id", "__th")
-    met = met.agg(F.flatten(F.collect_set("spans")).alias("spans"))
-    return packed.join(met, own, "left").select("id", "z", "spans").mapInArrow(
+    found = found.select(F.col("row").alias("__row"), both.alias("spans")).groupBy("__row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return packed.join(found, own, "left").select("id", "z", "spans").mapInArrow(
         lean(_cut), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: bigint, end: bigint>>"
     )
 
