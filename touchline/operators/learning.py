@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import cross_validated, side_by_side
+from .evaluation import cross_validated, side_by_side, with_fold
 
 CALIBRATION_FOLDS = 3
 
@@ -71,12 +71,13 @@ def components(rows: DataFrame, vector: str, k: int):
     return PCA(k=k, inputCol=vector, outputCol="pca").fit(rows)
 
 
-def calibrated(rows: DataFrame, label: str, score: str):
-    """Isotonic calibration, kept only if it lowers the Brier score out of fold; (model of all rows or None, before, after)."""
-    data = rows.select(F.col(score).alias("features"), F.col(label).cast("double").alias("label"))
-    # rows of one score and label are one fold's, so no fold's model has seen them
-    data = data.withColumn("fold", F.pmod(F.xxhash64("features", "label"), F.lit(CALIBRATION_FOLDS)).cast("int"))
-    judged = cross_validated(data, CALIBRATION_FOLDS, IsotonicRegression().fit)
+def calibrated(rows: DataFrame, label: str, score: str, group: str):
+    """Isotonic calibration, kept only if it lowers the Brier score out of fold; (model of all rows or None, before, after).
+
+    Folds are whole groups (``group`` may be a row's key): the model that judges a row knows other rows of its score, and none of its group.
+    """
+    data = rows.select(F.col(score).alias("features"), F.col(label).cast("double").alias("label"), F.col(group).alias("group"))
+    judged = cross_validated(with_fold(data, "group", CALIBRATION_FOLDS), CALIBRATION_FOLDS, IsotonicRegression().fit)
     brier = lambda df, c: df.agg(F.avg(F.pow(F.col(c) - F.col("label"), F.lit(2.0)))).first()[0]
     before, after = brier(data, "features"), brier(judged, "prediction")
     return (IsotonicRegression().fit(data) if after < before else None), before, after

@@ -235,6 +235,6 @@ def collinear_features(spark, d):
 @query("calibration")
 def calibration(spark, d):
     """Brier score before and after isotonic calibration, and whether it is kept."""
-    rows = _players(spark, d).select("label", F.least(F.lit(1.0), F.col("xg") * 10).alias("score"))
-    model, before, after = learning.calibrated(rows, "label", "score")
+    rows = _players(spark, d).select("label", F.least(F.lit(1.0), F.col("xg") * 10).alias("score"), "l_orderkey")
+    model, before, after = learning.calibrated(rows, "label", "score", "l_orderkey")
     return spark.createDataFrame([(float(before), float(after), model is not None)], "before double, after double, kept boolean")

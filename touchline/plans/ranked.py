@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import cumulated
+from ..operators.ordered import cumulated, quantile_bin, quantile_edges
 from ..sources.readers import run_sql, table
 from .texts import _SCORED
 
@@ -47,10 +47,9 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def auc_rank(spark: SparkSession, d: str) -> DataFrame:
-    c = _scores(spark, d)
-    ranked = c.join(_ranks(c.select("s", "n"), "s"), "s")
+    rank = F.col("before_n") + (F.col("n") + 1) / 2.0
     p, n = F.sum("p").cast("double"), F.sum("n").cast("double")
-    return ranked.agg(F.round((F.sum(F.col("rank") * F.col("p")) - p * (p + 1) / 2) / (p * (n - p)), 6).alias("auc"))
+    return cumulated(_scores(spark, d), "s", ["n"]).agg(F.round((F.sum(rank * F.col("p")) - p * (p + 1) / 2) / (p * (n - p)), 6).alias("auc"))
 
 
 def _from_the_top(spark: SparkSession, d: str) -> DataFrame:
@@ -77,16 +76,10 @@ def recall_at_precision(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def decile_calibration(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(
-        "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_discount").alias("s"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y")
-    )
-    counts = cumulated(rows.groupBy("l_extendedprice").agg(F.count("*").alias("n")), "l_extendedprice", ["n"]).select("l_extendedprice", "before_n")
-    total = F.broadcast(rows.agg(F.count("*").alias("total")))
-    inside = Window.partitionBy("l_extendedprice").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    at = rows.withColumn("i", F.row_number().over(inside)).join(counts, "l_extendedprice").crossJoin(total).withColumn("at", F.expr("before_n + i - 1"))
-    long = "(total % 10) * (total div 10 + 1)"  # the first buckets hold one row more
-    bucket = F.expr(f"CAST(IF(at < {long}, at div (total div 10 + 1), total % 10 + (at - {long}) div greatest(total div 10, 1)) AS INT) + 1")
-    return at.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("observed"))
+    """Bins of equal numbers of rows by price, equal prices in one. Rows are neither sorted nor shuffled."""
+    rows = table(spark, d, "lineitem").select("l_extendedprice", F.col("l_discount").alias("s"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
+    bucket = quantile_bin(F.col("l_extendedprice"), quantile_edges(rows, "l_extendedprice", 10))
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("observed"))
 
 
 @query

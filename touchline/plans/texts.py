@@ -126,8 +126,9 @@ add("avg_rank_composite", """SELECT team_id, rank() OVER (ORDER BY a DESC) + (co
 FROM (SELECT l_suppkey AS team_id, count(*) AS a, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) % 50 AS b FROM lineitem GROUP BY l_suppkey) AS t""")
 QUERIES["avg_rank_composite"] = lambda spark, sf_dir, q=QUERIES["avg_rank_composite"]: q(spark, sf_dir).selectExpr("team_id", "CAST(composite AS DOUBLE) AS composite")
 ORACLE["avg_rank_composite"] = f"SELECT team_id, composite::DOUBLE AS composite FROM ({ORACLE['avg_rank_composite']})"
-add("decile_calibration", """SELECT bucket, count(*) AS n, round(avg(s), 6) AS predicted, round(avg(y), 6) AS observed FROM (
-  SELECT l_discount AS s, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, ntile(10) OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS bucket FROM lineitem) AS t GROUP BY bucket""")
+add("decile_calibration", """WITH q AS (SELECT list_distinct(quantile_cont(l_extendedprice, [i / 10.0 FOR i IN range(11)])) AS e FROM lineitem), r AS (SELECT list_sort(e) AS e FROM q)
+SELECT bucket, count(*) AS n, round(avg(s), 6) AS predicted, round(avg(y), 6) AS observed FROM (
+  SELECT l_discount AS s, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, (len(list_filter(e[2:len(e) - 1], lambda x: x < l_extendedprice)) + 1)::INT AS bucket FROM lineitem, r) AS t GROUP BY bucket""", "SELECT 1")
 add("quantile_tiers", """WITH q AS (SELECT quantile_cont(c_acctbal, 0.5) AS a, quantile_cont(c_acctbal, 0.8) AS b, quantile_cont(c_acctbal, 0.95) AS c FROM customer),
 t AS (SELECT CASE WHEN c_acctbal < a THEN 'Low' WHEN c_acctbal < b THEN 'Medium' WHEN c_acctbal < c THEN 'High' ELSE 'Very High' END AS tier, c_acctbal FROM customer, q)
 SELECT tier, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM t GROUP BY tier""", """WITH q AS (SELECT percentile(c_acctbal, array(0.5, 0.8, 0.95)) AS p FROM customer),
