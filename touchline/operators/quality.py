@@ -42,3 +42,37 @@ def card(spark: SparkSession, key: str, version: str, task: str, algorithm: str,
 
     row = spark.createDataFrame([(key, version, task, algorithm, json.dumps(metrics), n_train)], "model_key string, version string, task string, algorithm string, m string, n_train_rows int")
     return row.withColumn("metrics", F.parse_json("m")).withColumn("trained_at", F.current_timestamp()).drop("m")
+
+
+#: The formats of date columns in the order in which they are tried, and the share of a column's rows that one must parse.
+COLUMN_FORMATS, COLUMN_SHARE = ("MMM d, yyyy", "yyyy-M-d", "d/M/yyyy", "M/d/yyyy"), 0.8
+
+
+def date_formats(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: for each column the place of the first format that parses more than COLUMN_SHARE of all rows (nulls count as rows), -1 if none does."""
+    parsed = lambda c, f: F.try_to_date(F.col(c), f).isNotNull().cast("int")
+    rates = rows.agg(*[F.array(*[F.avg(parsed(c, f)) for f in COLUMN_FORMATS]).alias(c) for c in columns])
+    return rates.select(*[(F.array_position(F.transform(c, lambda r: F.coalesce(r > COLUMN_SHARE, F.lit(False))), True) - 1).cast("int").alias(c) for c in columns])
+
+
+def with_dates(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with text columns as dates: by the column's one format, whatever other formats a value would fit; without one, each value by the first that parses it."""
+    chosen = date_formats(rows, columns).select(*[F.col(c).alias(f"__{c}") for c in columns])
+    joined = rows.crossJoin(F.broadcast(chosen))  # one row
+
+    def parsed(c: str):
+        out = F.coalesce(*[F.try_to_date(F.col(c), f) for f in COLUMN_FORMATS])
+        for i, f in enumerate(COLUMN_FORMATS):
+            out = F.when(F.col(f"__{c}") == i, F.try_to_date(F.col(c), f)).otherwise(out)
+        return out
+
+    return joined.select(*[parsed(c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def date_report(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, format, null_share): the format of each column, null where values were parsed one by one, and the share of rows without a date after it."""
+    names = F.array(*[F.lit(f) for f in COLUMN_FORMATS])
+    chosen = date_formats(rows, columns).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.get(names, F.col(c)).alias("format")) for c in columns])))
+    shares = with_dates(rows.select(*columns), columns).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns])
+    shares = shares.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_share")) for c in columns])))
+    return chosen.join(F.broadcast(shares), "column_name")  # a row per column

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +48,39 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) ->
 def json_files(spark: SparkSession, path: str, schema: str, key: str = "match_id") -> DataFrame:
     """One JSON array per file; ``key`` is the number in the file's name and ``seq`` the order inside the file.
 
-    Missing files read as no rows. All files are one scan.
+    Missing files, and a missing folder, read as no rows. All files are one scan.
     """
-    rows = spark.read.schema(schema).option("multiLine", True).option("ignoreMissingFiles", True).json(path)
+    try:
+        rows = spark.read.schema(schema).option("multiLine", True).option("ignoreMissingFiles", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, {key} int, seq long")
     rows = rows.withColumn(key, F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.json$", 1).cast("int"))
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
+def events_checked(spark: SparkSession, root: str, folder: str = "events", schema: str = EVENT_SCHEMA) -> DataFrame:
+    """(match_id, seq, element, broken, unreadable, the fields of an event) of every element of every file of a folder; no rows where there is no folder.
+
+    A file that is no JSON array is one row with ``broken``, an empty array one row without an ``element``. An element that doesn't
+    fit the schema keeps its text in ``unreadable``: what is wrong costs a file or an element, and never the scan.
+    """
+    fields = f"{schema}, __bad string"
+    try:
+        files = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(f"{root}/{folder}")
+        files = files.select("value", F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.json$", 1).try_cast("int").alias("match_id"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], "value string, match_id int")
+    files = files.where("match_id IS NOT NULL").withColumn("__all", F.from_json("value", "array<string>"))
+    each = files.select("match_id", F.col("__all").isNull().alias("broken"), F.posexplode_outer("__all").alias("seq", "element"))
+    each = each.withColumn("__j", F.from_json("element", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    unreadable = F.when(F.col("element").isNotNull() & (F.col("__j").isNull() | F.col("__j.__bad").isNotNull()), F.col("element"))
+    return each.select("match_id", F.col("seq").cast("long").alias("seq"), "element", "broken", unreadable.alias("unreadable"), "__j.*").drop("__bad")
+
+
 def events(spark: SparkSession, root: str) -> DataFrame:
     return json_files(spark, f"{root}/events", EVENT_SCHEMA)
 
@@ -94,8 +121,6 @@ def in_scope(rows: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
 
 def parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None where there is none."""
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.parquet(path)
     except AnalysisException:
