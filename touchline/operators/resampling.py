@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import nearest
+
 BLOCK_ROWS = 2000
 
 
@@ -26,38 +27,28 @@ def undersampled(rows: DataFrame, label: str, key: str, buckets: int = 256) -> D
     return joined.where(F.col("__at") + F.col("__i") <= F.col("__least")).select(rows.columns)
 
 
+def drawn(key: Column, copy: Column, seed: int, part: int) -> Column:
+    """32 bits for a copy of a row, the same on every run and in every engine that has md5."""
+    text = F.md5(F.concat_ws(":", key.cast("string"), copy.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(text, 1 + 8 * part, 8), 16, 10).cast("long")
+
+
 def synthetic(rows: DataFrame, label: str, minority, key: str, numeric: list[str], copies: int = 1, neighbours: int = 5, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, label, numeric.., synthetic): the rows, and ``copies`` synthetic rows for each row of the minority class.
 
-    A synthetic row lies on the line from a row to one of its ``neighbours`` nearest minority rows, drawn by the seed.
-    Neighbours are searched within blocks of about ``block_rows`` rows (dealt by the hash of the key), so no task holds the class;
-    a class of one block gets its exact neighbours. A block of one row repeats it. Nulls in numeric columns are refused.
+    A synthetic row lies on the line from a row to one of its ``neighbours`` nearest minority rows (exact, ties by key), both drawn by the
+    digest of key, copy and seed. A class of one row repeats it. Nulls in numeric columns are refused; ``key`` tells rows apart.
     """
-    import numpy as np
-
-    types = dict(rows.dtypes)
-    few = rows.where(F.col(label) == minority)
-    blocks = max(1, -(-few.count() // block_rows))
-    few = few.select(key, label, *[F.col(c).cast("double").alias(c) for c in numeric]).withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = pdf[numeric].to_numpy(float)
-        if np.isnan(x).any():
-            raise ValueError("numeric columns of minority rows must not be null")
-        rng = np.random.default_rng([seed, int(pdf["__block"].iloc[0])])
-        k = min(neighbours, len(x) - 1)
-        parts = []
-        if k:
-            d = ((x[:, None, :] - x[None]) ** 2).sum(axis=2) if len(x) <= 500 else np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0)
-            np.fill_diagonal(d, np.inf)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        for _ in range(copies):
-            to = x[near[np.arange(len(x)), rng.integers(0, k, len(x))]] if k else x
-            made = x + rng.random((len(x), 1)) * (to - x)
-            parts.append(pdf[[key, label]].assign(**dict(zip(numeric, made.T))))
-        return pd.concat(parts)
-
-    fields = ", ".join([f"{key} {types[key]}", f"{label} {types[label]}", *[f"{c} double" for c in numeric]])
-    made = few.groupBy("__block").applyInPandas(run, fields).withColumn("synthetic", F.lit(True))
+    few = rows.where(F.col(label) == minority).select(key, label, *[F.col(c).cast("double").alias(c) for c in numeric])
+    if not few.where(" OR ".join(f"`{c}` IS NULL" for c in numeric)).isEmpty():
+        raise ValueError("numeric columns of minority rows must not be null")
+    few = few.withColumn("__v", F.array(*numeric))
+    near = nearest(few, key, "__v", neighbours, block_rows).select(F.col(key).alias("__k"), F.col("neighbours.key").alias("__near"))
+    each = few.join(near, F.col(key) == F.col("__k")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    pick = F.when(F.size("__near") > 0, drawn(F.col(key), F.col("__copy"), seed, 0) % F.greatest(F.size("__near"), F.lit(1)))
+    each = each.withColumn("__to", F.get("__near", pick.cast("int"))).withColumn("__u", drawn(F.col(key), F.col("__copy"), seed, 1) / F.lit(float(1 << 32)))
+    ends = few.select(F.col(key).alias("__e"), F.col("__v").alias("__w"))
+    each = each.join(ends, F.col("__to") == F.col("__e"), "left")
+    line = [(F.col(c) + F.col("__u") * (F.coalesce(F.col("__w")[i], F.col(c)) - F.col(c))).alias(c) for i, c in enumerate(numeric)]
+    made = each.select(key, label, *line, F.lit(True).alias("synthetic"))
     return rows.select(key, label, *[F.col(c).cast("double").alias(c) for c in numeric]).withColumn("synthetic", F.lit(False)).unionByName(made)

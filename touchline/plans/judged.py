@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, learning
+from ..operators import evaluation, learning, neighbours, ranks
 from ..sources.readers import table
 
 QUERIES: dict = {}
@@ -54,3 +54,57 @@ def calibration_folds(spark, d):
     rows = table(spark, d, "labels").select("doc_id", "toxic").join(docs, "doc_id")
     model, before, after = learning.calibrated(rows, "toxic", "s", "doc_id")
     return spark.createDataFrame([(round(before, 6), round(after, 6), model is not None)], "before double, after double, kept boolean")
+
+
+def _density(f: str, low: str, high: str, steps: int = 20_000) -> str:
+    """Simpson's rule over f(u) from low to high."""
+    return f"(SELECT sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f}) * (({high}) - ({low})) / {steps} / 3 FROM (SELECT i, ({low}) + (({high}) - ({low})) * i / {steps} AS u FROM range({steps} + 1) s(i)))"
+
+
+_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _COLUMNS)
+_PAIRS = [(a, b) for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :]]
+_T = "exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * power(1 + u * u / (n - 2), -(n - 1) / 2.0)"
+
+
+@query("spearman_matrix", f"""WITH r AS (SELECT {_RANKED} FROM lineitem), c AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS rho FROM r" for a, b in _PAIRS)}),
+t AS (SELECT *, abs(rho) * sqrt((n - 2) / ((1 - rho) * (1 + rho))) AS t FROM c)
+SELECT a, b, n, round(rho, 6) AS rho, round(CASE WHEN t > 30 THEN 0 ELSE 1 - 2 * {_density(_T, '0', 't')} END, 6) AS p FROM t""")
+def spearman_matrix(spark, d):
+    m = ranks.spearman_matrix(table(spark, d, "lineitem"), list(_COLUMNS))
+    return m.select("a", "b", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
+
+
+_CHI = "CASE WHEN u = 0 THEN 0 ELSE exp((df / 2.0 - 1) * ln(u) - u / 2 - df / 2.0 * ln(2) - lgamma(df / 2.0)) END"
+
+
+@query("kruskal_test", f"""WITH r AS (SELECT l_returnflag || l_linestatus || (l_linenumber::VARCHAR) AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r, l_quantity AS v FROM lineitem),
+s AS (SELECT g, sum(r)::DOUBLE AS s, count(*)::DOUBLE AS m FROM r GROUP BY g), n AS (SELECT sum(m) AS n, count(*) - 1 AS df, sum(s * s / m) AS q FROM s),
+t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v)), h AS (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h, df FROM n, t)
+SELECT round(h, 4) AS h, df, round(1 - {_density(_CHI, '0', 'h')}, 5) AS p FROM h""")
+def kruskal_test(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("g", F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")))
+    return ranks.kruskal(rows, "l_quantity", "g").select(F.round("h", 4).alias("h"), "df", F.round("p", 5).alias("p"))
+
+
+@query("chi_square_test", f"""WITH c AS (SELECT l_returnflag AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), x AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), y AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1),
+k AS (SELECT sum((coalesce(n, 0) - na * nb / t) ** 2 / (na * nb / t)) AS chi2, (count(DISTINCT x.a) - 1) * (count(DISTINCT y.b) - 1) AS df FROM x, y, (SELECT sum(n)::DOUBLE AS t FROM c) z LEFT JOIN c ON c.a = x.a AND c.b = y.b)
+SELECT round(chi2, 6) AS chi2, df, round(1 - {_density(_CHI, '0', 'chi2')}, 5) AS p FROM k""")
+def chi_square_test(spark, d):
+    return ranks.chi_square(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber").select(F.round("chi2", 6).alias("chi2"), "df", F.round("p", 5).alias("p"))
+
+
+@query("silhouette_euclidean", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+k AS (SELECT label, count(*) AS n FROM e GROUP BY 1), m AS (SELECT vec_id, own, max(CASE WHEN own = other THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d JOIN k ON other = label GROUP BY 1, 2)
+SELECT own AS label, count(*) AS n, round(avg(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette FROM m JOIN k ON own = label GROUP BY own""")
+def silhouette_euclidean(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    s = neighbours.silhouettes(e, "vec_id", "embedding", "label")
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 5).alias("silhouette"))
+
+
+@query("nearest_vectors", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT vec_id, other, rank FROM (SELECT a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE rank <= 5""")
+def nearest_vectors(spark, d):
+    found = neighbours.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+    return found.select("vec_id", F.posexplode("neighbours").alias("i", "n")).select("vec_id", F.col("n.key").alias("other"), (F.col("i") + 1).cast("long").alias("rank"))

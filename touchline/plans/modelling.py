@@ -148,11 +148,16 @@ def undersampled(spark, d):
     return resampling.undersampled(table(spark, d, "embeddings"), "label", "vec_id").select("vec_id", "label")
 
 
-@query("oversampled", "SELECT (toxic = 1) AS minority, count(*) * CASE WHEN toxic = 1 THEN 2 ELSE 1 END AS n FROM labels JOIN documents USING (doc_id) GROUP BY toxic")
+@query("oversampled", """WITH r AS (SELECT doc_id, toxic, coalesce(n_chars, 0)::DOUBLE AS x, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), m AS (SELECT * FROM r WHERE toxic = 1),
+n AS (SELECT a.doc_id, b.doc_id AS other, b.x AS bx, b.y AS yb, row_number() OVER (PARTITION BY a.doc_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.doc_id) - 1 AS i FROM m a JOIN m b ON a.doc_id <> b.doc_id),
+c AS (SELECT doc_id, least(5, count(*)) AS c FROM n GROUP BY 1), d AS (SELECT m.*, copy, md5(doc_id || ':' || copy || ':42') AS h FROM m, range(1, 3) t(copy)),
+s AS (SELECT d.*, ('0x' || substr(h, 1, 8))::BIGINT % c AS pick, ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 AS u FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, toxic, round(x, 6) AS n_chars, round(y, 6) AS quality, false AS synthetic FROM r
+UNION ALL SELECT s.doc_id, s.toxic, round(x + u * (coalesce(bx, x) - x), 6), round(y + u * (coalesce(yb, y) - y), 6), true FROM s LEFT JOIN n ON n.doc_id = s.doc_id AND n.i = s.pick""")
 def oversampled(spark, d):
     docs = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", "toxic", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), "quality")
-    s = resampling.synthetic(docs, "toxic", 1, "doc_id", ["n_chars", "quality"])
-    return s.groupBy((F.col("toxic") == 1).alias("minority")).agg(F.count("*").alias("n"))
+    s = resampling.synthetic(docs, "toxic", 1, "doc_id", ["n_chars", "quality"], copies=2)
+    return s.withColumns({"n_chars": F.round("n_chars", 6), "quality": F.round("quality", 6)})
 
 
 def _auc(df: DataFrame) -> float:
