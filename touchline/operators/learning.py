@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +50,6 @@ def features(numeric: list[str], categorical: list[str] = (), scale: str = "stan
     return [*stages, VectorAssembler(inputCols=["__s", *[f"{c}__o" for c in categorical]], outputCol="features")]
 
 
-CLASSIFIERS = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}
-REGRESSORS = {"linear": LinearRegression, "forest": RandomForestRegressor, "boosted": GBTRegressor}
-
-
 def fitted(rows: DataFrame, stages: list, estimator) -> PipelineModel:
     return Pipeline(stages=[*stages, estimator]).fit(rows)
 

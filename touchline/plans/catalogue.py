@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batched, dataframes, endpoints, judged, linkage, matches, modelling, ranked, texts
+from . import batched, dataframes, endpoints, fitted, judged, linkage, matches, modelling, ranked, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -10,3 +10,4 @@ for _part in (texts, dataframes, matches, modelling, endpoints, linkage, judged,
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
 QUERIES |= ranked.QUERIES  # the SQL of texts, in other plans
+QUERIES |= fitted.QUERIES  # fitted models: no SQL
