@@ -16,6 +16,19 @@ FIELDS += "largest_component double, modularity double, n_communities long, "
 FIELDS += "hub_dominance double, weighted_density double, passes_per_player double, edges_per_player double, centralization double"
 
 
+def built(edges: DataFrame, group: list[str], order: str) -> DataFrame:
+    """(group, src, dst, weight) of a graph that is built edge by edge: of equal edges the last by ``order`` gives the weight; loops go."""
+    return edges.where("src <> dst").groupBy(*group, "src", "dst").agg(F.max_by("weight", order).alias("weight"))
+
+
+def degrees(edges: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node, degree, centrality) of distinct directed edges: edges in and out, as a share of the other nodes; 1 in a graph of one node."""
+    ends = edges.select(*group, F.explode(F.array("src", "dst")).alias("node")).groupBy(*group, "node").agg(F.count("*").alias("degree"))
+    nodes = ends.groupBy(*group).agg(F.count("*").alias("__n"))
+    share = F.when(F.col("__n") > 1, F.col("degree") / (F.col("__n") - 1)).otherwise(1.0)
+    return ends.join(nodes, group).select(*group, "node", "degree", share.alias("centrality"))
+
+
 def basics(edges: DataFrame, group: list[str]) -> DataFrame:
     """(group, n_nodes, n_edges, total_weight, weight_per_edge, density, reciprocity, degree_mean) of directed edges (src, dst, weight)."""
     e = edges.where("src <> dst").groupBy(*group, "src", "dst").agg(F.sum("weight").alias("weight"))

@@ -66,6 +66,24 @@ def components(rows: DataFrame, vector: str, k: int):
     return PCA(k=k, inputCol=vector, outputCol="pca").fit(rows)
 
 
+def component_report(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(component, share, cumulated, column_name, loading) of the first ``k`` principal components of standardised columns, nulls as 0.
+
+    The sign of a component is that of its largest loading, made positive; a constant column has no loading.
+    """
+    data = VectorAssembler(inputCols=columns, outputCol="__n").transform(rows.na.fill(0, columns).select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    data = StandardScaler(inputCol="__n", outputCol="__s", withMean=True).fit(data).transform(data)
+    model = PCA(k=k, inputCol="__s", outputCol="pca").fit(data)
+    shares, axes = model.explainedVariance.toArray().tolist(), model.pc.toArray()
+    out, total = [], 0.0
+    for i, share in enumerate(shares):
+        total += share
+        axis = axes[:, i]
+        sign = 1.0 if axis[abs(axis).argmax()] >= 0 else -1.0
+        out += [(i + 1, share, total, c, float(sign * x)) for c, x in zip(columns, axis)]
+    return rows.sparkSession.createDataFrame(out, "component int, share double, cumulated double, column_name string, loading double")
+
+
 def calibrated(rows: DataFrame, label: str, score: str, group: str):
     """Isotonic calibration, kept only if it lowers the Brier score out of fold; (model of all rows or None, before, after).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names of the same type in other systems' catalogues.
@@ -76,3 +76,32 @@ def date_report(rows: DataFrame, columns: list[str]) -> DataFrame:
     shares = with_dates(rows.select(*columns), columns).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns])
     shares = shares.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_share")) for c in columns])))
     return chosen.join(F.broadcast(shares), "column_name")  # a row per column
+
+
+def profile_full(rows: DataFrame, n_samples: int = 5) -> DataFrame:
+    """(column_name, type, n_rows, n_null, null_percent, n_distinct, least, greatest, mean, samples) of every column but maps.
+
+    Typed extremes and means come from one pass without a shuffle of rows; distinct values and the first ``n_samples`` in order of their
+    text from a second, over (column, value) pairs that are pre-aggregated, so no column's values meet in one task before.
+    """
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    cols = [(c, t) for c, t in rows.dtypes if not t.startswith(("map", "variant"))]
+    null = F.lit(None)
+    parts = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(t).alias("type"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias("n_null"),
+            F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest"), (F.avg(c) if t.startswith(numeric) else null).cast("double").alias("mean"),
+        )
+        for c, t in cols
+    ]
+    one = rows.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c, _ in cols])).alias("x")).select("x.c", "x.v").where("v IS NOT NULL")
+    values = pairs.distinct()
+    counts = values.groupBy(F.col("c").alias("__c")).agg(F.count("*").alias("n_distinct"))
+    first = values.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(32)))
+    for by in (["c", "__s"], ["c"]):  # the first of each of 32 parts, then of those
+        first = first.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy("v"))).where(F.col("__i") <= n_samples)
+    samples = first.groupBy(F.col("c").alias("__d")).agg(F.array_sort(F.collect_list("v")).alias("samples"))
+    share = F.when(F.col("n_rows") > 0, F.round(F.col("n_null") * 100.0 / F.col("n_rows"), 2)).otherwise(0.0)
+    out = one.join(counts, F.col("column_name") == F.col("__c"), "left").join(samples, F.col("column_name") == F.col("__d"), "left")
+    return out.select("column_name", "type", "n_rows", "n_null", share.alias("null_percent"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "least", "greatest", "mean", F.coalesce("samples", F.array()).alias("samples"))

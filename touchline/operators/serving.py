@@ -36,14 +36,42 @@ def exists(rows: DataFrame, condition: Column) -> bool:
     return not rows.where(condition).limit(1).isEmpty()
 
 
+def rows_or_empty(spark: SparkSession, schema: str, build, *args) -> DataFrame:
+    """A panel's rows, or none of its schema where its query can't be analysed (a missing table or column). Nothing is collected; other errors are raised."""
+    try:
+        return build(*args)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def rows_or_none(build, *args) -> list:
-    """Rows of a panel, or an empty list where its query can't be analysed (a missing table or column). Other errors are raised."""
+    """Rows of a panel, or an empty list where its query can't be analysed: for panels of a few rows (``rows_or_empty`` collects nothing)."""
     try:
         return build(*args).collect()
     except AnalysisException:
         return []
 
 
+def alive(spark: SparkSession) -> DataFrame:
+    """One row (ok, version): a query runs."""
+    return spark.range(1).select((F.col("id") == 0).alias("ok"), F.version().alias("version"))
+
+
+def table_report(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(table_name, present, n_rows) of the Parquet tables that are expected below a folder."""
+    from ..sources.readers import parquet_or_none
+
+    parts = []
+    for n in names:
+        rows = parquet_or_none(spark, f"{root}/{n}.parquet")
+        count = rows.agg(F.count("*").alias("n_rows")) if rows is not None else spark.range(1).select(F.lit(None).cast("long").alias("n_rows"))
+        parts.append(count.select(F.lit(n).alias("table_name"), F.lit(rows is not None).alias("present"), "n_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def season_table(matches: DataFrame, season: str | None = None) -> DataFrame:
     """(team, played, goals_for, goals_against, xg_for, xg_against, points, xpoints, xg_diff, points_diff) of matches with both scores.
 
@@ -155,3 +183,23 @@ def outcome_curve(snapshots: DataFrame, model: PipelineModel, classes: dict[str,
     scored = model.transform(snapshots.na.fill(0)).withColumn("__p", vector_to_array("probability"))
     shares = [F.round(F.col("__p")[i] * 100, 1).alias(n) for n, i in classes.items()]
     return scored.select("match_id", "team_id", "minute", *shares).orderBy("match_id", "team_id", "minute")
+
+
+def outcome_shares(scored: DataFrame, classes: dict[str, int], keys: list[str]) -> DataFrame:
+    """(keys, a percentage of one decimal for each of ``classes``, probabilities): the last a JSON object of label and probability, four decimals."""
+    from pyspark.ml.functions import vector_to_array
+
+    p = scored.withColumn("__p", vector_to_array("probability"))
+    shares = [F.round(F.get("__p", F.lit(i)) * 100, 1).alias(n) for n, i in classes.items()]
+    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in classes]), F.array(*[F.round(F.get("__p", F.lit(i)), 4) for i in classes.values()]))
+    return p.select(*keys, *shares, F.to_json(pairs).alias("probabilities"))
+
+
+def prematch_point(points: DataFrame, match_id, team_id) -> DataFrame:
+    """The pre-match outcome of one team in one match: one row, or none."""
+    return points.where((F.col("match_id") == match_id) & (F.col("team_id") == team_id)).limit(1)
+
+
+def of_player(shots: DataFrame, player_id) -> DataFrame:
+    """The shots of one player, or all of them without one."""
+    return shots if player_id is None else shots.where(F.col("player_id") == player_id)

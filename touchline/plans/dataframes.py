@@ -132,7 +132,10 @@ UNION ALL SELECT 'lineitem.part', count(*) FROM lineitem WHERE l_partkey NOT IN
 UNION ALL SELECT 'lineitem.supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
 UNION ALL SELECT 'supplier.nation', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)
 UNION ALL SELECT 'nation.region', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)
-UNION ALL SELECT 'labels.document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+UNION ALL SELECT 'labels.document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'events.customer', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'embeddings.document', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'conversations.page', count(*) FROM conversations WHERE conv_id NOT IN (SELECT page_id FROM pages)""")
 def orphan_checks(spark, d):
     t = lambda n: table(spark, d, n)
     out = joins.orphans(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey", "lineitem.order")
@@ -140,7 +143,8 @@ def orphan_checks(spark, d):
         ("orders", "o_custkey", "customer", "c_custkey", "orders.customer"), ("customer", "c_nationkey", "nation", "n_nationkey", "customer.nation"),
         ("lineitem", "l_partkey", "part", "p_partkey", "lineitem.part"), ("lineitem", "l_suppkey", "supplier", "s_suppkey", "lineitem.supplier"),
         ("supplier", "s_nationkey", "nation", "n_nationkey", "supplier.nation"), ("nation", "n_regionkey", "region", "r_regionkey", "nation.region"),
-        ("labels", "doc_id", "documents", "doc_id", "labels.document"),
+        ("labels", "doc_id", "documents", "doc_id", "labels.document"), ("events", "user_id", "customer", "c_custkey", "events.customer"),
+        ("embeddings", "vec_id", "documents", "doc_id", "embeddings.document"), ("conversations", "conv_id", "pages", "page_id", "conversations.page"),
     ):
         out = out.unionByName(joins.orphans(t(c), k, t(p), pk, n))
     return out
@@ -347,3 +351,31 @@ def cluster_kmeans(spark, d):
 
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return kmeans(e, "v", 9, 42, restarts=3).select("vec_id", "cluster")
+
+
+@query("workload_7_14", f"""WITH {_O} SELECT a.o_orderkey, count(b.o_orderkey) FILTER (WHERE b.day >= a.day - 7) AS matches_7, count(b.o_orderkey) AS matches_14,
+  round(coalesce(sum(b.o_totalprice) FILTER (WHERE b.day >= a.day - 7), 0), 2) AS minutes_7, round(coalesce(sum(b.o_totalprice), 0), 2) AS minutes_14
+FROM o a LEFT JOIN o b ON a.o_custkey = b.o_custkey AND b.day < a.day AND b.day >= a.day - 14 GROUP BY a.o_orderkey""")
+def workload_7_14(spark, d):
+    o, dn = _orders(spark, d), F.col("dn")
+    w = {n: ordered.prior_days(["o_custkey"], dn, n) for n in (7, 14)}
+    n = [F.count("*").over(w[k]).alias(f"matches_{k}") for k in w]
+    return o.select("o_orderkey", *n, *[F.round(F.coalesce(F.sum("o_totalprice").over(w[k]), F.lit(0.0)), 2).alias(f"minutes_{k}") for k in w])
+
+
+@query("graph_last_wins", """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS g, l_suppkey % 25 AS src, l_partkey % 25 AS dst, l_quantity AS w,
+    row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), l_suppkey % 25, l_partkey % 25 ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS k FROM lineitem),
+e AS (SELECT g, src, dst, w FROM r WHERE k = 1 AND src <> dst), v AS (SELECT g, src AS x FROM e UNION SELECT g, dst FROM e), n AS (SELECT g, count(*) AS n FROM v GROUP BY g),
+t AS (SELECT g, x, count(*) AS d FROM (SELECT g, src AS x FROM e UNION ALL SELECT g, dst FROM e) GROUP BY 1, 2), c AS (SELECT g, max(d) AS d, avg(d) AS m FROM t GROUP BY g)
+SELECT e.g, any_value(n) AS n_nodes, count(*) AS n_edges, sum(w) AS total_weight, round(any_value(d)::DOUBLE / (any_value(n) - 1), 6) AS degree_max, round(any_value(m) / (any_value(n) - 1), 6) AS degree_mean
+FROM e JOIN n USING (g) JOIN c USING (g) GROUP BY e.g""")
+def graph_last_wins(spark, d):
+    li = table(spark, d, "lineitem")
+    e = li.select(
+        F.col("l_shipdate").cast("date").alias("g"), (F.col("l_suppkey") % 25).alias("src"), (F.col("l_partkey") % 25).alias("dst"), F.col("l_quantity").alias("weight"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("order"),
+    )
+    built = graph.built(e, ["g"], "order")
+    size = built.groupBy("g").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("total_weight"))
+    degree = graph.degrees(built, ["g"]).groupBy("g").agg(F.count("*").alias("n_nodes"), F.round(F.max("centrality"), 6).alias("degree_max"), F.round(F.avg("centrality"), 6).alias("degree_mean"))
+    return size.join(degree, "g").select("g", "n_nodes", "n_edges", "total_weight", "degree_max", "degree_mean")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clusters, graph, learning, ordered, rating, serving
+from ..operators import clusters, evaluation, graph, learning, ordered, rating, serving
 from ..sources.readers import table
 from .dataframes import _O, _XP, _edges, _orders
 from .texts import _EDGES
@@ -273,15 +273,43 @@ def elo_features(spark, d):
     return rating.with_elo(rows, rating.elo(m, "league"), "m", "t")
 
 
+_CLASSES = {"win": 2, "draw": 1, "loss": 0}
+
+
 @query()
 def win_probability_timeline(spark, d):
-    """Win, draw and loss in percent after every hour of a user's day, by a model of the running totals."""
+    """Win, draw and loss in percent after every hour of a user's day: running totals against how the day ends, each user by a model of other users."""
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("team_id"), F.to_date("ts").alias("match_id"), F.hour("ts").alias("minute")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
-    w = Window.partitionBy("match_id", "team_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
-    rows = e.select("match_id", "team_id", "minute", F.sum("v").over(w).alias("total"), F.sum("n").over(w).cast("double").alias("seen"))
-    rows = rows.withColumn("label", F.when(F.col("total") > 60 * F.col("seen"), 2.0).when(F.col("total") > 40 * F.col("seen"), 1.0).otherwise(0.0))
-    model = learning.fitted(rows, learning.features(["total", "seen"]), LogisticRegression(maxIter=20, family="multinomial"))
-    return serving.outcome_curve(rows, model, {"win": 2, "draw": 1, "loss": 0})
+    day = Window.partitionBy("match_id", "team_id")
+    sofar = day.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("v").over(day) / F.sum("n").over(day)
+    rows = e.select("match_id", "team_id", F.col("minute").cast("double").alias("minute"), F.sum("v").over(sofar).alias("total"), F.sum("n").over(sofar).cast("double").alias("seen"), end.alias("end"))
+    rows = rows.withColumn("label", F.when(F.col("end") > 55, 2.0).when(F.col("end") > 45, 1.0).otherwise(0.0)).drop("end")
+    fit = lambda part: learning.fitted(part, learning.features(["total", "seen", "minute"]), LogisticRegression(maxIter=20, family="multinomial"))
+    scored = evaluation.cross_validated(evaluation.with_balanced_fold(rows, "team_id", 3), 3, fit)
+    return serving.outcome_shares(scored, _CLASSES, ["match_id", "team_id", "minute"]).drop("probabilities").orderBy("match_id", "team_id", "minute")
+
+
+def prematch_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a team's matches: form, points of the season so far and rest before each, and its outcome."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("s"))
+    o = o.withColumns({"points": F.when(F.col("s") == "F", 3).when(F.col("s") == "P", 1).otherwise(0), "dn": ordered.day_number("day"), "season": F.year("day")})
+    o = ordered.with_last_before(o, ["o_custkey"], "dn", "o_orderkey", "points", 5, "last")
+    prior = F.avg("points").over(ordered.all_prior_days(["o_custkey", "season"], F.col("dn")))
+    rest = F.least(F.lit(60), ordered.days_since(["o_custkey"], F.col("dn"), F.col("dn")))
+    rows = o.select(F.col("o_orderkey").alias("match_id"), F.col("o_custkey").alias("team_id"), "season", ordered.mean_of(F.col("last")).alias("form"), prior.alias("ppg"), rest.cast("double").alias("rest"), "points")
+    return rows.withColumn("label", F.when(F.col("points") == 3, 2.0).when(F.col("points") == 1, 1.0).otherwise(0.0)).drop("points")
+
+
+@query()
+def prematch_points(spark, d):
+    """Win, draw and loss before the matches of the last season, by a model of the seasons before it; what isn't known yet counts as the median."""
+    rows = prematch_rows(spark, d)
+    last = rows.agg(F.max("season")).first()[0]
+    parts = evaluation.held_out(rows, "season", last)
+    train, test = parts if parts else (rows, rows)
+    model = learning.fitted(train, learning.features(["form", "ppg", "rest"]), LogisticRegression(maxIter=20, family="multinomial"))
+    return serving.outcome_shares(model.transform(test), _CLASSES, ["match_id", "team_id", "season"])
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import events as E
+from ..operators import profiles
 from ..sources.readers import run_sql
 
 QUERIES: dict = {}
@@ -151,3 +152,50 @@ FROM e GROUP BY 1""")
 def position_groups(events):
     name = F.expr(f"try_element_at(array({_POSITIONS}), CAST(nullif(coalesce(player.id, 0) % 8, 0) AS INT))")
     return events.groupBy(S.position_group(name).alias("position_group")).agg(F.count("*").alias("n"))
+
+
+_STATS = ORACLE["match_player_stats"]
+_NAMES = "'Goalkeeper', 'Left Back', 'Center Midfield', 'Left Wing', 'Secondary Striker'"
+
+
+def _positioned(events: DataFrame) -> DataFrame:
+    """Statistics with the position of each appearance."""
+    return E.player_stats(events).withColumn("position", F.expr(f"element_at(array({_NAMES}), CAST((player_id + match_id % 3) % 5 + 1 AS INT))"))
+
+
+_EFFICIENCY = ", ".join(f"avg({c}) AS {n}" for n, c in profiles.MEANS.items())
+_ROUNDED = ", ".join(f"round({n}, 6) AS {n}" for n in profiles.MEANS)
+_RADAR = ", ".join(f"round(greatest(0, least(100, {c} * {k})), 1) AS radar_{a}" for a, (c, k) in profiles.RADAR.items())
+
+
+@query("efficiency_profiles", f"""SELECT team_id, player_id, position, matches, round(minutes, 6) AS minutes, rank, {_ROUNDED}, {_RADAR},
+  CASE WHEN player_id % 4 = 0 THEN 'Unclassified' ELSE 'type ' || (player_id % 4)::VARCHAR END AS player_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY best DESC, player_id) AS rank FROM (
+    SELECT t.team_id, ps.player_id, mode(position ORDER BY position) AS position, count(*) AS matches, avg(minutes_played) * count(*) AS minutes, avg(xa + xg) AS best, {_EFFICIENCY}
+    FROM ({_STATS}) ps JOIN (SELECT match_id, player_id, arg_max(team_id, seq) AS team_id, [{_NAMES}][(player_id + match_id % 3) % 5 + 1] AS position FROM e WHERE player_id IS NOT NULL GROUP BY match_id, player_id) t
+      ON t.match_id = ps.match_id AND t.player_id = ps.player_id GROUP BY t.team_id, ps.player_id HAVING count(*) >= 3)) WHERE rank <= 12""")
+def efficiency_profiles(events):
+    stats = _positioned(events)
+    types = stats.select("player_id").distinct().where("player_id % 4 <> 0").select("player_id", F.concat(F.lit("type "), (F.col("player_id") % 4).cast("string")).alias("player_type"))
+    out = profiles.efficiency(stats, types)
+    return out.withColumns({c: F.round(c, 6) for c in ("minutes", *profiles.MEANS)}).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("style_vectors", f"""SELECT player_id, sum(minutes_played) AS total_minutes, round(avg(pass_accuracy), 6) AS pass_accuracy, round(sum(xg) / (sum(minutes_played) / 90.0), 6) AS xg_90, round(sum(xa) / (sum(minutes_played) / 90.0), 6) AS xa_90,
+  round(sum(shots) / (sum(minutes_played) / 90.0), 6) AS shots_90, round(sum(goals) / (sum(minutes_played) / 90.0), 6) AS goals_90, round(sum(passes_attempted) / (sum(minutes_played) / 90.0), 6) AS passes_90,
+  round(sum(progressive_carries) / (sum(minutes_played) / 90.0), 6) AS carries_90, round(sum(passes_attempted + dribbles_completed) / (sum(minutes_played) / 90.0), 6) AS touches_90,
+  round(sum(progressive_passes + progressive_carries) / (sum(minutes_played) / 90.0), 6) AS progressive_actions_90, round(sum(tackles) / (sum(minutes_played) / 90.0), 6) AS tackles_90,
+  round(sum(interceptions) / (sum(minutes_played) / 90.0), 6) AS interceptions_90, round(sum(pressures) / (sum(minutes_played) / 90.0), 6) AS pressures_90 FROM ({_STATS}) ps GROUP BY player_id HAVING sum(minutes_played) > 0""")
+def style_vectors(events):
+    v = profiles.style_vector(E.player_stats(events))
+    return v.select("player_id", "total_minutes", *[F.round(c, 6).alias(c) for c in v.columns[2:]])
+
+
+@query("subbed_off", "SELECT DISTINCT match_id, player_id FROM e WHERE kind = 'Substitution' AND player_id IS NOT NULL")
+def subbed_off(events):
+    return profiles.subbed_off(events)
+
+
+@query("match_players_named", """SELECT match_id, player_id, arg_max(team_id, seq) AS team_id, max(player_id::VARCHAR) AS player_name FROM e WHERE player_id IS NOT NULL GROUP BY match_id, player_id""")
+def match_players_named(events):
+    return E.player_stats(events).select("match_id", "player_id", "team_id", "player_name")

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, evaluation, learning, resampling, selection
+from ..operators import clusters, evaluation, learning, quality, resampling, selection
 from ..sources.readers import table
 
 QUERIES: dict = {}
@@ -243,3 +243,31 @@ def calibration(spark, d):
     rows = _players(spark, d).select("label", F.least(F.lit(1.0), F.col("xg") * 10).alias("score"), "l_orderkey")
     model, before, after = learning.calibrated(rows, "label", "score", "l_orderkey")
     return spark.createDataFrame([(float(before), float(after), model is not None)], "before double, after double, kept boolean")
+
+
+_PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "date", "o_orderpriority": "string"}
+
+
+@query("column_profile_full", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, '{t}' AS type, count(*) AS n_rows, count(*) - count(x) AS n_null, round((count(*) - count(x)) * 100.0 / count(*), 2) AS null_percent, count(DISTINCT x) AS n_distinct,
+    {"round(avg(x), 4)" if t in ("bigint", "double") else "NULL"}::DOUBLE AS mean, {"min(x)::VARCHAR AS least, max(x)::VARCHAR AS greatest" if t != "double" else "'' AS least, '' AS greatest"} FROM (SELECT {f"CAST({c} AS DATE)" if t == "date" else c} AS x FROM orders)"""
+    for c, t in _PROFILED.items()
+))
+def column_profile_full(spark, d):
+    o = table(spark, d, "orders")
+    o = o.select(*[F.col(c).cast(t).alias(c) for c, t in _PROFILED.items()])
+    p = quality.profile_full(o).withColumn("mean", F.round("mean", 4)).drop("samples")
+    blank = lambda c: F.when(F.col("type") == "double", "").otherwise(F.col(c)).alias(c)  # engines write doubles in different ways
+    return p.select("column_name", "type", "n_rows", "n_null", "null_percent", "n_distinct", "mean", blank("least"), blank("greatest"))
+
+
+@query("component_report")
+def component_report(spark, d):
+    return learning.component_report(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 3)
+
+
+@query("table_report", " UNION ALL ".join(f"SELECT '{t}' AS table_name, true AS present, count(*) AS n_rows FROM {t}" for t in ("region", "orders", "documents")) + " UNION ALL SELECT 'weather', false, NULL")
+def table_report(spark, d):
+    from ..operators import serving
+
+    return serving.table_report(spark, d, ["region", "orders", "documents", "weather"])
