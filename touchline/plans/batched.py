@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..operators import batches, quality
 from ..operators.counters import Counters
 from ..sources import commits
 from ..sources.readers import table
+from ..sources.shared import fresh_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,16 +23,6 @@ def query(name: str, sql: str):
     return put
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares; a single process without one gets its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="touchline-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("isolated_batches", """SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS n_read, sum(CASE WHEN event_type <> 'error' THEN json_extract(props, '$.k')::BIGINT END)::BIGINT AS k,
   count(*) FILTER (WHERE event_type = 'error') AS n_unreadable FROM events GROUP BY user_id""")
 def isolated_batches(spark, d):

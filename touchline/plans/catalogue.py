@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import batched, dataframes, endpoints, fitted, judged, linkage, matches, modelling, ranked, texts
+from . import batched, dataframes, endpoints, fitted, judged, linkage, matches, modelling, networks, ranked, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (texts, dataframes, matches, modelling, endpoints, linkage, judged, batched):
+for _part in (texts, dataframes, matches, modelling, networks, endpoints, linkage, judged, batched, networks):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
 QUERIES |= ranked.QUERIES  # the SQL of texts, in other plans

@@ -258,11 +258,6 @@ def graph_feature_matrix(spark, d):
     return m.select("g", "n_nodes", "n_edges", *[F.round(c, 6).alias(c) for c in ("weighted_density", "passes_per_player", "edges_per_player")], "goals")
 
 
-@query()
-def graph_hubs(spark, d):
-    return graph.path_metrics(_edges(spark, d), ["g"]).select("g", "hub_dominance", "centralization")
-
-
 @query()
 def elo_features(spark, d):
     """Snapshots with the ratings of their match, 0 where there is none."""
