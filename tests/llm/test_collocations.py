@@ -39,7 +39,7 @@ def made(seed, texts=60):
     return rows + [(None, "en"), ("", "en"), (" .,;", "de"), ("   ", None), *[("new york city hall", "fr")] * 40, (" the" * 5000, "en"), ("a.b," * 4000, "de")]
 
 
-@pytest.mark.parametrize("slab,map_bits", [(8 << 20, None), (900, 6), (3000, 9)])
+@pytest.mark.parametrize("slab,map_bits", [(4 << 20, None), (900, 6), (3000, 9)])
 def test_equals_plain_counts(spark, slab, map_bits):
     """Whole shards; many small ones with a map so full that nearly every phrase is a candidate."""
     rows = made(4)

@@ -40,7 +40,7 @@ from .common import SALTS, bounded_batches, lean, met, parts_for, stored
 
 LONGEST, LEAST, TOP, SUBSUMED = 4, 30, 2000, 80
 CELL_BITS, MAP_BITS = 36, 30
-SLAB = 8 << 20
+SLAB = 4 << 20
 MERGE = 1 << 23
 DELIMITERS, BREAK = b".,;:!?\n\x0b\x0c\r", b"\xff"  # the break is no byte of UTF-8
 
