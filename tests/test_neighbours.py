@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import special
-from touchline.operators import neighbours, ranks, resampling
+from touchline.operators import clusters, neighbours, ordered, ranks, resampling
+from touchline.sources.shared import written
 
 
 def brute(x, keys, k):
@@ -126,3 +127,25 @@ def test_synthetic_rows_of_a_large_class(spark):
         assert any(abs(np.linalg.norm(p - x[r.k]) + np.linalg.norm(p - e) - np.linalg.norm(x[r.k] - e)) < 1e-9 for e in ends)
     with pytest.raises(ValueError):
         resampling.synthetic(df.withColumn("a", F.lit(None).cast("double")), "y", 1, "k", ["a", "b"])
+
+
+@pytest.mark.parametrize("reach,block", [(0.0, 50), (1.5, 9), (100.0, 40)])
+def test_within_equals_all_pairs(spark, reach, block):
+    draw = np.random.default_rng(8)
+    x = np.round(draw.normal(size=(150, 2)) * 3, 0)
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "k int, v array<double>").repartition(4)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {r.k: [m.key for m in r.neighbours] for r in neighbours.within(df, "k", "v", reach, block, 12).collect()}
+    assert got == {i: sorted((j for j in range(150) if j != i and d[i, j] <= reach), key=lambda j: (d[i, j], j)) for i in range(150)}
+
+
+@pytest.mark.parametrize("eps", [None, 0.6])
+def test_density_equals_the_walk(spark, eps):
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(size=(60, 2)) * 0.5, draw.normal(size=(50, 2)) * 0.3 + 4, draw.uniform(-6, 9, size=(25, 2))])
+    df = spark.createDataFrame([("g", i * 2, list(map(float, v))) for i, v in enumerate(draw.permutation(x))], "g string, k int, v array<double>").repartition(3)
+    want = {r.k: r.cluster for r in clusters.dbscan(df, "g", "k", "v", eps=eps, least=4, quantile=0.7).collect()}
+    got = {r.k: r.cluster for r in clusters.density(df, "k", "v", written(spark), eps=eps, least=4, quantile=0.7).collect()}
+    assert got == want and len(set(want.values())) > 2
+    assert clusters.density(df.where("false"), "k", "v", written(spark)).count() == 0
+    assert ordered.quantiles(df.withColumn("x", F.col("v")[0]), "x", [0.25, 0.7]) == pytest.approx(np.quantile(x[:, 0], [0.25, 0.7]).tolist())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,32 @@ def dbscan(rows: DataFrame, group: str, key: str, vector: str, eps: float | None
 
     types = dict(rows.dtypes)
     return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {types[group]}, {key} {types[key]}, cluster int")
+
+
+def density(rows: DataFrame, key: str, vector: str, written, eps: float | None = None, least: int = 5, neighbour: int = 5, quantile: float = 0.9) -> DataFrame:
+    """(key, cluster) of every row of a table of any size, by density: -1 for noise; without ``eps``, the ``quantile`` of the distances to the ``neighbour``-th nearest row.
+
+    Rows with ``least`` rows within ``eps``, themselves included, are cores; linked cores are a cluster, numbered by their smallest key; a row near
+    cores that isn't one belongs to the first of their clusters. Neighbours come from pivots, clusters from components: nothing is one task's
+    but the numbering of clusters, a row each.
+    """
+    from . import centrality, neighbours
+    from .ordered import quantiles
+
+    base = written(rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")))
+    if eps is None:
+        far = neighbours.nearest(base, "key", "v", neighbour, written=written).select(F.try_element_at("neighbours", F.lit(-1))["distance"].alias("d"))
+        found = quantiles(far, "d", [quantile])
+        eps = found[0] if found else 0.0
+    near = neighbours.within(base, "key", "v", eps, written=written).select("key", F.col("neighbours.key").alias("near"))
+    near = written(near.withColumn("core", F.size("near") + 1 >= least))
+    cores = near.where("core").select(F.col("key").alias("c"))
+    links = near.select("key", "core", F.explode("near").alias("c")).join(cores, "c")
+    edges = links.where("core").select(F.lit(0).alias("g"), F.col("key").alias("src"), F.col("c").alias("dst"), F.lit(1.0).alias("weight"))
+    roots = centrality.components(written(edges), ["g"], written).select(F.col("node").alias("c"), "root")
+    roots = cores.join(roots, "c", "left").select("c", F.coalesce("root", "c").alias("root"))
+    numbers = roots.select("root").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+    named = written(roots.join(numbers, "root").select("c", "cluster"))
+    border = links.where("NOT core").join(named, "c").groupBy(F.col("key").alias("c")).agg(F.min("cluster").alias("cluster"))
+    every = named.unionByName(border)
+    return base.join(every, F.col("key") == F.col("c"), "left").select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

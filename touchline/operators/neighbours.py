@@ -36,7 +36,17 @@ def _distances(x, y):
 
 
 def nearest(rows: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS, written=lambda df: df) -> DataFrame:
-    """(key, neighbours array<struct<distance, key>>): the ``k`` nearest other rows of each, ties by key; fewer if there are no more rows.
+    """(key, neighbours array<struct<distance, key>>): the ``k`` nearest other rows of each, ties by key; fewer if there are no more rows."""
+    return _searched(rows, key, vector, k, None, block_rows, max_pivots, written)
+
+
+def within(rows: DataFrame, key: str, vector: str, reach: float, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS, written=lambda df: df) -> DataFrame:
+    """(key, neighbours array<struct<distance, key>>): all other rows of each at a distance of ``reach`` or less, nearest first."""
+    return _searched(rows, key, vector, None, reach, block_rows, max_pivots, written)
+
+
+def _searched(rows: DataFrame, key: str, vector: str, k: int | None, within: float | None, block_rows: int, max_pivots: int, written) -> DataFrame:
+    """Neighbours of every row, the ``k`` nearest or those ``within`` a distance.
 
     Rows belong to the cell of their nearest pivot (some rows drawn by hash, at most ``max_pivots``). The distances to the pivots and
     the cells' radii bound the distance of the k-th neighbour from above and that to any row of a cell from below, so a row is sent only to
@@ -69,10 +79,13 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int, block_rows: int = BL
         for b in batches:
             d = _distances(_matrix(b.column("v"), dims), pivots)
             reach = d + radius  # all rows of a cell are within
-            order = np.argsort(reach, axis=1, kind="stable")
-            held = np.cumsum(size[order], axis=1)
-            enough = np.minimum((held < min(k + 1, n)).sum(axis=1), len(pivots) - 1)  # itself is one of them
-            bound = np.take_along_axis(reach, order, axis=1)[range(len(d)), enough] * (1 + SLACK)
+            if k is None:
+                bound = np.full(len(d), within * (1 + SLACK))
+            else:
+                order = np.argsort(reach, axis=1, kind="stable")
+                held = np.cumsum(size[order], axis=1)
+                enough = np.minimum((held < min(k + 1, n)).sum(axis=1), len(pivots) - 1)  # itself is one of them
+                bound = np.take_along_axis(reach, order, axis=1)[range(len(d)), enough] * (1 + SLACK)
             wanted = (d - radius - SLACK * (d + radius) <= bound[:, None]) & (size > 0)
             to = [np.flatnonzero(w).tolist() for w in wanted]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("v"), pa.array(to, pa.list_(pa.int32()))], ["key", "v", "cells"])
@@ -108,7 +121,7 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int, block_rows: int = BL
                         for row, r in zip(d, some):
                             if r[3] in name:
                                 row[name[r[3]]] = np.inf
-                            limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+                            limit = within if k is None else np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
                             near = sorted((row[p], keys[p]) for p in np.flatnonzero((row <= limit) & (row < np.inf)).tolist())[:k]
                             out.append((r[3], [{"distance": float(x), "key": z} for x, z in near]))
                 i = j
@@ -117,7 +130,8 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int, block_rows: int = BL
 
     dealt = blocks.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "sent")
     found = dealt.mapInArrow(met, f"key {kind}, near array<struct<distance: double, key: {kind}>>")
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    best = F.array_sort(F.flatten(F.collect_list("near")))
+    best = best if k is None else F.slice(best, 1, k)
     return found.groupBy("key").agg(best.alias("neighbours")).select(F.col("key").alias(key), "neighbours")
 
 

@@ -156,8 +156,8 @@ def cumulated(counts: DataFrame, value: str, sums: list[str], ranges: int | None
     return joined.withColumns({f"before_{x}": F.col(f"before_{x}") + F.col(f"__{x}") for x in sums}).drop("__range", "__at", *[f"__{x}" for x in sums])
 
 
-def quantile_edges(rows: DataFrame, value: str, bins: int, accuracy: int = 100_000) -> list[float]:
-    """The exact interpolated quantiles 0, 1 / bins .. 1 of a numeric column, equal ones once; nulls don't count, no values give no edges.
+def quantiles(rows: DataFrame, value: str, at: list[float], accuracy: int = 100_000) -> list[float]:
+    """The exact interpolated quantiles of a numeric column; nulls don't count, no values give no quantiles.
 
     Approximate quantiles, whose places are off by one in ``accuracy`` at most, bracket each place. One more scan counts the rows
     between the brackets and, value by value, those inside: a few rows in ``accuracy`` are ordered, and no more are shuffled. The driver
@@ -168,29 +168,33 @@ def quantile_edges(rows: DataFrame, value: str, bins: int, accuracy: int = 100_0
     if not n:
         return []
     off = 2.0 / accuracy + 2.0 / n
-    low, high = [max(0.0, i / bins - off) for i in range(1, bins + 1)], [min(1.0, i / bins + off) for i in range(bins)]
-    marks = v.agg(F.percentile_approx("v", [*low, *high], accuracy).alias("m")).first()
-    brackets = list(zip([-math.inf, *marks.m[:bins]], [*marks.m[bins:], math.inf]))
+    marks = v.agg(F.percentile_approx("v", [*[max(0.0, q - off) for q in at], *[min(1.0, q + off) for q in at]], accuracy).alias("m")).first().m
+    # approximate quantiles at the ends needn't be the extremes
+    brackets = [(-math.inf if q - off <= 0 else lo, math.inf if q + off >= 1 else hi) for q, lo, hi in zip(at, marks[: len(at)], marks[len(at) :])]
     bounds = sorted({b for pair in brackets for b in pair if math.isfinite(b)})
-    at, inside = F.lit(0), F.lit(False)
+    span, inside = F.lit(0), F.lit(False)
     for b in bounds:
-        at = at + (F.col("v") > F.lit(b)).cast("int")
+        span = span + (F.col("v") > F.lit(b)).cast("int")
     for lo, hi in brackets:
         inside = inside | ((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-    near = v.select(at.alias("at"), F.when(inside, F.col("v")).alias("v")).groupBy("at", "v").agg(F.count("*").alias("n"))
+    near = v.select(span.alias("at"), F.when(inside, F.col("v")).alias("v")).groupBy("at", "v").agg(F.count("*").alias("n"))
     ahead, sums = 0, {}
     near = near.withColumn("b", F.coalesce(F.sum("n").over(Window.partitionBy("at").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = near.groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()  # a row between two bounds
     for r in totals:
         sums[r["at"]], ahead = ahead, ahead + r.n
-    places = [(n - 1) * i / bins for i in range(bins + 1)]
+    places = [(n - 1) * q for q in at]
     wanted = sorted({p for h in places for p in (int(h), min(int(h) + 1, n - 1))})
     before = F.col("b") + F.coalesce(*[F.when(F.col("at") == k, F.lit(x)) for k, x in sums.items()])
     hit = [(before <= p) & (before + F.col("n") > p) for p in wanted]
     found = near.where("v IS NOT NULL").select("v", F.filter(F.array(*[F.when(c, p) for c, p in zip(hit, wanted)]), lambda x: x.isNotNull()).alias("p"))
     value_at = {p: r.v for r in found.where(F.size("p") > 0).collect() for p in r.p}
-    edges = [value_at[int(h)] + (value_at[min(int(h) + 1, n - 1)] - value_at[int(h)]) * (h - int(h)) for h in places]
-    return sorted(set(edges))
+    return [value_at[int(h)] + (value_at[min(int(h) + 1, n - 1)] - value_at[int(h)]) * (h - int(h)) for h in places]
+
+
+def quantile_edges(rows: DataFrame, value: str, bins: int, accuracy: int = 100_000) -> list[float]:
+    """The exact quantiles 0, 1 / bins .. 1 of a column, equal ones once."""
+    return sorted(set(quantiles(rows, value, [i / bins for i in range(bins + 1)], accuracy)))
 
 
 def quantile_bin(value: Column, edges: list[float]) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, learning, neighbours, ranks
+from ..operators import clusters, evaluation, learning, neighbours, ranks
 from ..sources.readers import table
+from ..sources.shared import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +109,13 @@ SELECT vec_id, other, rank FROM (SELECT a.vec_id, b.vec_id AS other, row_number(
 def nearest_vectors(spark, d):
     found = neighbours.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
     return found.select("vec_id", F.posexplode("neighbours").alias("i", "n")).select("vec_id", F.col("n.key").alias("other"), (F.col("i") + 1).cast("long").alias("rank"))
+
+
+@query("density_clusters", """WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings), d AS MATERIALIZED (SELECT a.i, b.i AS j, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.i <> b.i),
+f AS (SELECT quantile_cont(d, 0.5) AS eps FROM (SELECT d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k = 5),
+n AS MATERIALIZED (SELECT i, j FROM d, f WHERE d <= eps), c AS MATERIALIZED (SELECT i FROM n GROUP BY i HAVING count(*) + 1 >= 5), l AS MATERIALIZED (SELECT n.i, n.j FROM n JOIN c ON c.i = n.i JOIN c o ON o.i = n.j),
+r AS (SELECT i AS x, i AS y FROM c UNION SELECT r.x, l.j FROM r JOIN l ON r.y = l.i), t AS (SELECT x, min(y) AS root FROM r GROUP BY x), k AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM t)),
+m AS (SELECT x AS i, cluster FROM t JOIN k USING (root)), b AS (SELECT n.i, min(cluster) AS cluster FROM n JOIN m ON m.i = n.j WHERE n.i NOT IN (SELECT i FROM c) GROUP BY n.i)
+SELECT e.i AS vec_id, coalesce(m.cluster, b.cluster, -1)::INT AS cluster FROM e LEFT JOIN m USING (i) LEFT JOIN b USING (i)""")
+def density_clusters(spark, d):
+    return clusters.density(table(spark, d, "embeddings"), "vec_id", "embedding", written(spark), quantile=0.5)
