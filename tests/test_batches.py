@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import batches, quality
-from touchline.operators.counters import Counters, success_rate
+from touchline.operators.counters import Counters, counting, success_rate
 from touchline.sources import commits, readers
 
 
@@ -90,13 +90,19 @@ def test_partitions_are_replaced_and_rows_updated(spark, tmp_path):
 
 def test_counters(spark):
     c, done = Counters(), lambda df: df.write.format("noop").mode("overwrite").save()
-    rows = spark.range(1000).withColumn("m", F.col("id") % 10)
+    rows = counting(spark).range(1000).withColumn("m", F.col("id") % 10)
     assert c.run("one", done, rows, F.col("id") % 4 == 0, "m") and c.run("two", done, rows.where("id < 10"), F.lit(None).cast("boolean"))
     assert not c.run("bad", done, rows.withColumn("x", F.raise_error(F.lit("no"))))
     one = c.of("one")
     assert (one["events"], one["failed"], one["matches"], one["success_rate"]) == (1000, 250, 10, 75.0) and one["seconds"] > 0
     s = c.summary()
     assert (s["completions"], s["failures"], s["total_events"], s["failed_events"], s["events_per_batch"], s["success_rate"]) == (2, 1, 1010, 250, 505.0, 75.25)
+    # a model that was fitted in the session itself can still be shipped
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=["id"], outputCol="features").transform(spark.range(20).withColumn("label", (F.col("id") > 9).cast("double")))
+    assert LogisticRegression().fit(data).transform(data).where("prediction = label").count() > 15
     assert "no" in s["failure_reasons"]["bad"] and success_rate(0, 0) == 100.0 and Counters().summary()["success_rate"] == 100.0
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batches, quality
-from ..operators.counters import Counters
+from ..operators.counters import Counters, counting
 from ..sources import commits
 from ..sources.readers import table
 from ..sources.shared import fresh_folder
@@ -46,9 +46,9 @@ _WATCHED = {
 ))
 def counted_batches(spark, d):
     """Counters that four running queries leave behind."""
-    c = Counters()
+    c, own = Counters(), counting(spark)
     for n, (bad, match) in _WATCHED.items():
-        c.run(n, lambda df: df.write.format("noop").mode("overwrite").save(), table(spark, d, n), F.expr(bad), match)
+        c.run(n, lambda df: df.write.format("noop").mode("overwrite").save(), table(own, d, n), F.expr(bad), match)
     found = [(n, x["events"], x["failed"], x["success_rate"]) for n in _WATCHED for x in [c.of(n)]]
     return spark.createDataFrame(found, "batch string, events bigint, failed bigint, success_rate double")
 
