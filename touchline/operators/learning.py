@@ -18,9 +18,9 @@ CALIBRATION_FOLDS = 3
 
 
 def kmeans(rows: DataFrame, vector: str, k: int, seed: int, restarts: int = 1) -> DataFrame:
-    """Rows with ``cluster`` from the best of ``restarts`` seeded fits."""
+    """Rows with ``cluster`` from the best of ``restarts`` seeded fits, a few side by side; the first of equal ones."""
     data = rows.withColumn("__v", array_to_vector(F.col(vector)))
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(data) for i in range(restarts)]
+    fits = side_by_side(lambda i: KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(data), range(restarts))
     return min(fits, key=lambda m: m.summary.trainingCost).transform(data).drop("__v")
 
 

@@ -350,7 +350,7 @@ def cluster_kmeans(spark, d):
     from ..operators.learning import kmeans
 
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return kmeans(e, "v", 9, 42, restarts=3).select("vec_id", "cluster")
+    return kmeans(e, "v", 9, 42, restarts=30).select("vec_id", "cluster")
 
 
 @query("workload_7_14", f"""WITH {_O} SELECT a.o_orderkey, count(b.o_orderkey) FILTER (WHERE b.day >= a.day - 7) AS matches_7, count(b.o_orderkey) AS matches_14,

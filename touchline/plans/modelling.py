@@ -172,7 +172,7 @@ def _boosted(part: DataFrame, setting: dict):
 def shot_model(spark, d):
     """Out-of-fold scores of a boosted model by appearance, folds by match: AUC, log loss and Brier of all folds."""
     rows = evaluation.with_fold(_players(spark, d), "l_orderkey", 3)
-    scored = evaluation.cross_validated(rows, 3, lambda part: _boosted(part, {"maxDepth": 3, "maxIter": 5}))
+    scored = evaluation.cross_validated(rows, 3, lambda part: _boosted(part, {"maxDepth": 3, "maxIter": 40}))
     return evaluation.binary(scored.withColumn("p", vector_to_array("probability")[1]), "label", "p")
 
 
