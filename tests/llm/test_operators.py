@@ -368,7 +368,7 @@ def test_queries_against_their_sql(spark, sf):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, sf)
