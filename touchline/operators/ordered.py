@@ -178,14 +178,14 @@ def quantiles(rows: DataFrame, value: str, at: list[float], accuracy: int = 100_
     for lo, hi in brackets:
         inside = inside | ((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
     near = v.select(span.alias("at"), F.when(inside, F.col("v")).alias("v")).groupBy("at", "v").agg(F.count("*").alias("n"))
-    ahead, sums = 0, {}
-    near = near.withColumn("b", F.coalesce(F.sum("n").over(Window.partitionBy("at").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = near.groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()  # a row between two bounds
-    for r in totals:
-        sums[r["at"]], ahead = ahead, ahead + r.n
+    # rows before each value: those of earlier spans (a row a span, all that is broadcast) and of smaller values in its own
+    spans = near.groupBy("at").agg(F.sum("n").alias("__n"))
+    spans = spans.select(F.col("at").alias("__at"), F.coalesce(F.sum("__n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy("at").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("b", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(spans), F.col("at") == F.col("__at"))
     places = [(n - 1) * q for q in at]
     wanted = sorted({p for h in places for p in (int(h), min(int(h) + 1, n - 1))})
-    before = F.col("b") + F.coalesce(*[F.when(F.col("at") == k, F.lit(x)) for k, x in sums.items()])
+    before = F.col("b") + F.col("__ahead")
     hit = [(before <= p) & (before + F.col("n") > p) for p in wanted]
     found = near.where("v IS NOT NULL").select("v", F.filter(F.array(*[F.when(c, p) for c, p in zip(hit, wanted)]), lambda x: x.isNotNull()).alias("p"))
     value_at = {p: r.v for r in found.where(F.size("p") > 0).collect() for p in r.p}
