@@ -64,6 +64,27 @@ def test_elo(spark):
     assert b.home_elo + b.away_elo == pytest.approx(3000.0)
 
 
+def test_elo_streams_a_league(spark):
+    """A league is never held whole: its matches pass in small batches, and leagues of one task don't mix."""
+    rows = [(i, None if i == 5 else dt.date(2024, 1, 1) + dt.timedelta(i % 9), i % 4, (i + 1) % 4, None if i == 3 else i % 5, i % 3, i % 2) for i in range(60)]
+    m = spark.createDataFrame(rows, "match_id long, day date, home_id long, away_id long, home_score int, away_score int, l int")
+    want = {}
+    for league in (0, 1):
+        of: dict = {}
+        for i, _, home, away, x, y, _ in sorted((r for r in rows if r[6] == league), key=lambda r: (r[1] is None, r[1] or dt.date.min, r[0])):
+            h, a = of.get(home, 1500.0), of.get(away, 1500.0)
+            d = 0.0 if x is None else 20 * rating.multiplier(abs(x - y)) * ((x > y) + 0.5 * (x == y) - 1 / (1 + 10 ** (-(h + 100 - a) / 400)))
+            want[i] = (h, a, d)
+            of[home], of[away] = h + d, a - d
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = rating.elo(m, "l")
+        assert "InPandas" not in found._jdf.queryExecution().toString()
+        assert {r.match_id: (r.home_elo, r.away_elo, r.delta) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, "A", "B", 1), (1, "B", "A", 1), (1, "B", "C", 1)], "g int, src string, dst string, weight long")
     r = graph.basics(e, ["g"]).first()

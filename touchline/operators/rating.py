@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,27 +16,36 @@ def multiplier(goals: float) -> float:
     return 1.0 if goals <= 1 else 1.5 if goals == 2 else 1.75 + (goals - 3) / 8
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    rating: dict[int, float] = {}
-    rows = []
-    for r in pdf.sort_values(["day", "match_id"]).itertuples():
-        h, a = rating.get(r.home_id, BASE), rating.get(r.away_id, BASE)
-        d = 0.0
-        if pd.notna(r.home_score) and pd.notna(r.away_score):
-            won = 1.0 if r.home_score > r.away_score else 0.5 if r.home_score == r.away_score else 0.0
-            d = K * multiplier(abs(r.home_score - r.away_score)) * (won - 1 / (1 + 10 ** (-(h + HOME_EDGE - a) / 400)))
-        rows.append((r.match_id, r.home_id, r.away_id, h, a, d))
-        rating[r.home_id], rating[r.away_id] = h + d, a - d
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches in order of (league, day, id), a batch at a time: only the ratings of the league at hand are kept."""
+    league, rating = None, {}
+    for b in batches:
+        out: list[list] = [[], [], []]
+        sides = [b.column(c).to_pylist() for c in ("home_id", "away_id")]
+        for of, home, away, x, y in zip(b.column("__league").to_pylist(), *sides, b.column("home_score").to_pylist(), b.column("away_score").to_pylist()):
+            if of != league:
+                league, rating = of, {}
+            h, a = rating.get(home, BASE), rating.get(away, BASE)
+            d = 0.0
+            if x is not None and y is not None and x == x and y == y:
+                won = 1.0 if x > y else 0.5 if x == y else 0.0
+                d = K * multiplier(abs(x - y)) * (won - 1 / (1 + 10 ** (-(h + HOME_EDGE - a) / 400)))
+            for values, value in zip(out, (h, a, d)):
+                values.append(value)
+            rating[home] = h + d
+            rating[away] = a - d
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("match_id", "home_id", "away_id")], *[pa.array(v, pa.float64()) for v in out]], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def elo(matches: DataFrame, league: str | None = None) -> DataFrame:
     """(match_id, home_id, away_id, ratings before the match, delta) from (match_id, day, home_id, away_id, home_score, away_score).
 
-    Ratings move along matches, so a league is one fold: leagues run side by side, one league in one task.
+    Ratings move along matches, so a league is one fold: leagues run side by side, and a task streams the sorted matches of its leagues.
     """
     key = F.col(league) if league else F.lit(0)
-    return matches.select("match_id", "day", "home_id", "away_id", "home_score", "away_score", key.alias("__league")).groupBy("__league").applyInPandas(_fold, SCHEMA)
+    ids = [F.col(c).cast("long").alias(c) for c in ("match_id", "home_id", "away_id")]
+    rows = matches.select(*ids, "day", "home_score", "away_score", key.alias("__league"))
+    return rows.repartition("__league").sortWithinPartitions("__league", F.asc_nulls_last("day"), F.asc_nulls_last("match_id")).mapInArrow(_fold, SCHEMA)
 
 
 def with_elo(rows: DataFrame, ratings: DataFrame, match: str, team: str) -> DataFrame:
