@@ -48,6 +48,25 @@ def test_nearest_of_20000_rows(spark):
         assert got[k] == np.argsort(d, kind="stable")[:5].tolist()
 
 
+def test_cells_are_packed_into_few_groups():
+    """A row is sent to at most as many groups as there are: these don't grow with the cells."""
+    draw = np.random.default_rng(2)
+    size = draw.integers(0, 9000, size=256)
+    size[7] = 200_000
+    rows = neighbours._group_rows(int(size.sum()), 2000)
+    first, parts, groups = neighbours._packed_cells(size, draw.normal(size=(256, 64)), rows)
+    held = np.zeros(groups)
+    for c in range(256):
+        held[first[c] : first[c] + parts[c]] += size[c] / parts[c]
+    assert held.max() <= rows and held.sum() == pytest.approx(size.sum()) and groups <= 3 * neighbours.COPIES
+
+
+@pytest.mark.parametrize("n", [400, 120_000, 1_200_000])
+def test_silhouettes_send_a_table_to_few_groups(n):
+    """Every block is sent to each group: 24 copies of the table until groups are as large as a task may hold, not one a block."""
+    assert -(-n // neighbours._group_rows(n, 1)) <= neighbours.COPIES and neighbours._group_rows(10**9, 1000) == neighbours.GROUP_ROWS
+
+
 def test_silhouettes_equal_all_pairs(spark):
     draw = np.random.default_rng(3)
     x = np.concatenate([draw.normal(size=(60, 5)) + c for c in (0, 1, 6)] + [np.zeros((3, 5))])
