@@ -177,3 +177,5 @@ def test_containment_at_any_place(spark):
     got = joins.contains_either_way(spark.createDataFrame(left, "a long, an string"), "an", spark.createDataFrame(right, "b long, bn string"), "bn")
     want = sorted((a, b) for a, x in left for b, y in right if x and y and (x in y or y in x))
     assert sorted((r.a, r.b) for r in got.collect()) == want and (1, 1) in want
+    plan = joins.contains_either_way(spark.createDataFrame(left, "a long, an string"), "an", spark.createDataFrame(right, "b long, bn string"), "bn")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 6 and plan.count("BroadcastHashJoin") == 0  # names never go through the driver
