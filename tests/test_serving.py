@@ -106,3 +106,23 @@ def test_masks_and_identifiers(spark):
     for bad in ("a b", "1a", "a;b", ""):
         with pytest.raises(ValueError):
             serving.identifier(bad)
+
+
+@pytest.mark.parametrize("few", [2, 250_000])
+def test_rank_correlations_equal_the_library_without_sorting_rows(spark, monkeypatch, few):
+    import random
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    monkeypatch.setattr(learning, "FEW_VALUES", few)
+    monkeypatch.setattr(Correlation, "corr", lambda *a: pytest.fail("sorts every value of every column"))
+    draw = random.Random(3)
+    rows = [(draw.choice([None, 1.0, 2.0]), draw.gauss(0, 1), i % 7, 4.0) for i in range(300)]
+    df = spark.createDataFrame([(a, b, c, d, b**3 + (a or 0)) for a, b, c, d in rows], "a double, b double, c int, d double, e double")
+    names = ["a", "b", "c", "d", "e"]
+    got = learning._rank_correlations(df, names)
+    monkeypatch.undo()
+    data = VectorAssembler(inputCols=names, outputCol="v").transform(df.na.fill(0, names))
+    want = Correlation.corr(data, "v", "spearman").first()[0].toArray()
+    assert all(got[i][j] == pytest.approx(0.0 if want[i][j] != want[i][j] else want[i][j], abs=1e-9) for i in range(5) for j in range(5) if i != j)
