@@ -8,7 +8,7 @@ the sentences that carry a label are found without sentence labels.
 
 Fitting takes a bounded sample of labelled rows: of those of at most ``MAX_TEXT``
 characters the first ``MAX_DOCS`` in hash order, up to ``MAX_CHARS`` characters together,
-and ``MAX_FEATURES`` features. It is the only thing that reaches the driver. Scoring is one pass over all whole texts, without a shuffle; the
+and ``MAX_FEATURES`` features. One task fits them: the driver gets the model and no text. Scoring is one pass over all whole texts, without a shuffle; the
 weights (bounded) travel with the task.
 
 Edge cases: a null or empty text has one empty sentence and gets the bias; repeated
@@ -114,8 +114,8 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     return {"constant": None, "bias": float(bias), "weights": {f: float(x) for f, x in zip(names, w) if x}}
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    """The bounded training sample, held-out documents left out."""
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, y) of the bounded training sample in hash order, one partition; held-out documents left out."""
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     marked = marked.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -126,7 +126,27 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> li
     found = texts.join(F.broadcast(first), F.col("__doc") == F.col("__id")).select("h", "__id", "y", "text")
     once = found.withColumn("n", F.row_number().over(Window.partitionBy("h", "__id").orderBy("text"))).where("n = 1")
     sofar = F.sum(F.length("text")).over(Window.orderBy("h", "__id").rowsBetween(Window.unboundedPreceding, 0))
-    return [(r.text, r.y) for r in once.withColumn("c", sofar).where(F.col("c") <= MAX_CHARS).select("text", "y").collect()]
+    return once.withColumn("c", sofar).where(F.col("c") <= MAX_CHARS).select("text", "y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[tuple[str, int]]:
+    """The rows of ``sampled``."""
+    return [(r.text, r.y) for r in sampled(docs, labels, id_col, text_col).collect()]
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a partition: a row for the bias and the constant, and one a weight."""
+    model = fit([(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+    names, weights = [None, *model["weights"]], [model["bias"], *model["weights"].values()]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(weights, pa.float64()), pa.array([model["constant"]] * len(names), pa.float64())], ["feature", "weight", "constant"])
+
+
+def fit_in_task(rows: DataFrame) -> dict:
+    """``fit`` of (text, y) of one partition, in its task: the texts and their counts stay out of the driver."""
+    found = rows.mapInArrow(lean(_fitted), "feature string, weight double, constant double").collect()
+    if not found:
+        return fit([])
+    return {"constant": found[0].constant, "bias": found[0].weight, "weights": {r.feature: r.weight for r in found[1:]}}
 
 
 def held_out(doc_id):
@@ -220,7 +240,7 @@ def clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
 def trained(spark: SparkSession, sf_dir: str, id_col: str = "doc_id", text_col: str = "text") -> dict:
     bounded_batches(spark)
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return fit(sample(docs, labels, id_col, text_col))
+    return fit_in_task(sampled(docs, labels, id_col, text_col))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
