@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from touchline.operators import clusters, joins, resampling, selection
+from touchline.operators import clusters, joins, learning, resampling, selection
+from touchline.plans import modelling
 
 
 def test_density_clusters(spark):
@@ -91,3 +92,44 @@ def test_token_subset(spark):
     left = spark.createDataFrame([(1, "john smith"), (2, "smith"), (3, "none here"), (4, None), (5, "ann lee ann")], "a int, ln string")
     right = spark.createDataFrame([(7, "john peter smith"), (8, "jane smith"), (9, "lee ann"), (9, "lee ann"), (10, None)], "b int, rn string")
     assert sorted(map(tuple, joins.token_subset(left, "a", "ln", right, "b", "rn").collect())) == [(1, 7), (5, 9)]
+
+
+def test_weighted_cells_give_the_trees_of_the_rows(spark):
+    """Every row is counted, far fewer rows are fitted, and each row's score is that of a fit on all rows."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 3), float(rng.integers(0, 4)), float(rng.integers(0, 5)), "xyz"[rng.integers(0, 3)]) for i in range(3000)]
+    rows = [(i, f, a, b, c, float(rng.random() < (0.2 + 0.1 * a if c == "x" else 0.1 * b))) for i, f, a, b, c in rows] + [(3000, 1, None, float("nan"), None, 1.0)]
+    rows = spark.createDataFrame(rows, "k int, fold int, a double, b double, c string, label double")
+    p = vector_to_array(F.col("probability"))[1].alias("p")
+    for i, (train, test) in enumerate(learning.cells(rows, 3, ["a", "b"], ["c"], "label")):
+        ours, theirs = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
+        assert train.agg(F.sum("weight")).first()[0] == ours.count() and test.agg(F.sum("weight")).first()[0] == theirs.count()
+        assert train.count() <= 4 * 5 * 3 * 2 + 1
+        boosted = GBTClassifier(maxIter=4, maxDepth=3, seed=1)
+        plain = learning.fitted(ours, learning.features(["a", "b"], ["c"]), boosted).transform(theirs)
+        got = boosted.copy({boosted.weightCol: "weight", boosted.maxBins: learning.BINS + 1}).fit(train).transform(test)
+        want = sorted((r["c"] or "", r["label"], round(r["p"], 9)) for r in plain.select("c", "label", p).collect())
+        assert sorted(x for r in got.select("c", "label", p, "weight").collect() for x in [(r["c"] or "", r["label"], round(r["p"], 9))] * int(r["weight"])) == want
+
+
+def test_thresholds():
+    assert learning.thresholds([]) == learning.thresholds([3.0, 3.0]) == []
+    assert learning.thresholds([1.0, 2.0, 2.0, 4.0]) == [1.5, 3.0]
+    assert learning.thresholds([float(i) for i in range(100)], 4) == [24.5, 49.5, 74.5]
+    assert len(learning.thresholds(sorted(np.random.default_rng(2).normal(size=5000).tolist()))) == learning.BINS - 1
+
+
+def test_search_fits_cells(spark, sf, monkeypatch):
+    """parameter_search fits cells, and their weights are all rows of the other folds."""
+    seen, total = [], spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+    def searched(parts, space, n, *_):
+        seen.append([sum(df.agg(F.sum("weight")).first()[0] for df in part) for part in parts])
+        return {}, []
+
+    monkeypatch.setattr(selection, "searched", searched, raising=False)
+    modelling.QUERIES["parameter_search"](spark, sf).count()
+    assert seen == [[total] * 3]
