@@ -133,3 +133,17 @@ def test_search_fits_cells(spark, sf, monkeypatch):
     monkeypatch.setattr(selection, "searched", searched, raising=False)
     modelling.QUERIES["parameter_search"](spark, sf).count()
     assert seen == [[total] * 3]
+
+
+def test_shot_model_fits_cells(spark, sf, monkeypatch):
+    """Fits see weighted cells, and the metrics count every row."""
+    fits, boosted = [], modelling._boosted
+
+    def shorter(part, setting):
+        fits.append((setting, part.agg(F.sum("weight")).first()[0]))
+        return boosted(part, setting | {"maxIter": 2})
+
+    monkeypatch.setattr(modelling, "_boosted", shorter)
+    got, total = modelling.QUERIES["shot_model"](spark, sf).first(), spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert got["tp"] + got["fp"] + got["fn"] + got["tn"] == total and 0 < got["brier"] < 0.3
+    assert [s["maxIter"] for s, _ in fits] == [40] * 3 and sum(n for _, n in fits) == 2 * total
