@@ -126,3 +126,13 @@ def test_rank_correlations_equal_the_library_without_sorting_rows(spark, monkeyp
     data = VectorAssembler(inputCols=names, outputCol="v").transform(df.na.fill(0, names))
     want = Correlation.corr(data, "v", "spearman").first()[0].toArray()
     assert all(got[i][j] == pytest.approx(0.0 if want[i][j] != want[i][j] else want[i][j], abs=1e-9) for i in range(5) for j in range(5) if i != j)
+
+
+def test_ratings_are_joined_once_a_match(spark):
+    """Each side, a team against itself, a stranger, a match without rating, two ratings of a match; no rating is shuffled twice."""
+    ratings = spark.createDataFrame([(1, 10, 20, 1500.0, 1600.0, 0.0), (2, 10, 10, 1510.0, 1520.0, 0.0), (3, 10, 20, 1.0, 2.0, 0.0), (3, 30, 40, 3.0, 4.0, 0.0), (None, 10, 20, 5.0, 6.0, 0.0)], rating.SCHEMA)
+    rows = spark.createDataFrame([(1, 10), (1, 20), (1, 99), (2, 10), (3, 40), (7, 10), (None, 10), (1, None)], "m long, t long")
+    got = sorted((r["m"] or 0, r["t"] or 0, r["elo_pre"], r["opp_elo_pre"]) for r in rating.with_elo(rows, ratings, "m", "t").collect())
+    assert got == [(0, 10, 0, 0), (1, 0, 0, 0), (1, 10, 1500, 1600), (1, 20, 1600, 1500), (1, 99, 0, 0), (2, 10, 1510, 1520), (2, 10, 1520, 1510), (3, 40, 4, 3), (7, 10, 0, 0)]
+    plan = rating.with_elo(rows.hint("merge"), ratings, "m", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # sides are made after the join

@@ -49,8 +49,13 @@ def elo(matches: DataFrame, league: str | None = None) -> DataFrame:
 
 
 def with_elo(rows: DataFrame, ratings: DataFrame, match: str, team: str) -> DataFrame:
-    """Rows with elo_pre, opp_elo_pre and elo_diff of their (match, team); 0 where the match has no rating."""
-    side = lambda a, b: F.struct(F.col("match_id").alias("__m"), F.col(f"{a}_id").alias("__t"), F.col(f"{a}_elo").alias("elo_pre"), F.col(f"{b}_elo").alias("opp_elo_pre"))
-    sides = ratings.select(F.explode(F.array(side("home", "away"), side("away", "home"))).alias("s")).select("s.*")
-    out = rows.join(sides, (F.col(match) == F.col("__m")) & (F.col(team) == F.col("__t")), "left").drop("__m", "__t")
+    """Rows with elo_pre, opp_elo_pre and elo_diff of their (match, team); 0 where the match has no rating.
+
+    A match's rating is shuffled once, not once a side; a team that meets itself has both sides.
+    """
+    names = {"match_id": "__m", "home_id": "__h", "away_id": "__a", "home_elo": "__x", "away_elo": "__y"}
+    home, away = F.col(team) == F.col("__h"), F.col(team) == F.col("__a")
+    out = rows.join(ratings.select(*[F.col(c).alias(n) for c, n in names.items()]), (F.col(match) == F.col("__m")) & (home | away), "left")
+    side = lambda of, x, y: F.when(of, F.struct(F.col(x).alias("elo_pre"), F.col(y).alias("opp_elo_pre")))
+    out = out.withColumn("__s", F.explode_outer(F.array_compact(F.array(side(home, "__x", "__y"), side(away, "__y", "__x"))))).select(*rows.columns, "__s.*")
     return out.withColumn("elo_diff", F.col("elo_pre") - F.col("opp_elo_pre")).na.fill(0, ["elo_pre", "opp_elo_pre", "elo_diff"])
