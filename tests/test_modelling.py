@@ -147,3 +147,18 @@ def test_shot_model_fits_cells(spark, sf, monkeypatch):
     got, total = modelling.QUERIES["shot_model"](spark, sf).first(), spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert got["tp"] + got["fp"] + got["fn"] + got["tn"] == total and 0 < got["brier"] < 0.3
     assert [s["maxIter"] for s, _ in fits] == [40] * 3 and sum(n for _, n in fits) == 2 * total
+
+
+def test_values_are_dealt_once_for_all_columns(spark, monkeypatch):
+    """Every row gets the values of another, each goes to one row, copies of keys and nulls too; the order is made and stored once."""
+    rows = spark.createDataFrame([(i // 2, float(i), None if i % 5 == 0 else -float(i)) for i in range(500)], "k int, x double, z double")
+    for buckets in (1, 7, 4096):
+        got = selection._beside_next(rows, ["x", "z"], F.xxhash64("k"), buckets).select("x", "z", F.col("__next.x").alias("a"), F.col("__next.z").alias("b")).collect()
+        assert sorted(r["a"] for r in got) == sorted(r["x"] for r in got) == [float(i) for i in range(500)]
+        assert all(r["a"] != r["x"] and r["b"] == (None if r["a"] % 5 == 0 else -r["a"]) for r in got)
+    assert selection._beside_next(rows.where("x < 1"), ["x"], F.xxhash64("k")).first()["__next"]["x"] == 0
+
+    puts, put = [], selection.written
+    monkeypatch.setattr(selection, "written", lambda s: lambda df: puts.append(df) or put(s)(df))
+    selection.permutation_importance(Doubled(), rows, ["x", "z"], "k", lambda df: float(df.count()))
+    assert len(puts) == 1
