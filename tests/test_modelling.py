@@ -162,3 +162,11 @@ def test_values_are_dealt_once_for_all_columns(spark, monkeypatch):
     monkeypatch.setattr(selection, "written", lambda s: lambda df: puts.append(df) or put(s)(df))
     selection.permutation_importance(Doubled(), rows, ["x", "z"], "k", lambda df: float(df.count()))
     assert len(puts) == 1
+
+
+def test_shot_model_boosts_all_rounds(spark, sf, monkeypatch):
+    """Every fold asks for the 400 rounds of the full model."""
+    asked, boosted = [], modelling._boosted
+    monkeypatch.setattr(modelling, "_boosted", lambda part, setting: asked.append(setting["maxIter"]) or boosted(part, setting | {"maxIter": 2}))
+    modelling.QUERIES["shot_model"](spark, sf).first()
+    assert asked == [400] * 3
